@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import oracle
 from .oracle import AS_OF_YEAR
 from .plans import analysis as A
+from .plans import listings as L
+from .plans import pages as P
 from .sources.testdata import catalog_from_testdata
 
 
@@ -32,6 +35,26 @@ def plain_types(df: DataFrame) -> DataFrame:
     return df.select(cols)
 
 
+# Parameterised listings: name -> (job, parameters, SQL twin builder). The parameters are examples of
+# what a page request passes; the same values are bound into the SQL twin.
+LISTINGS = {
+    "movie_listing": (L.movie_listing, dict(genre="PROMO", min_rating=6.0, sort="rating", limit=50, offset=10),
+                      oracle.movie_listing_sql),
+    "movie_listing_by_title": (L.movie_listing, dict(year=1992, adult=False, sort="title", limit=20),
+                               oracle.movie_listing_sql),
+    "series_listing": (L.series_listing, dict(start_year=1950, end_year=2020, min_seasons=2, sort="year",
+                                               limit=25, offset=5), oracle.series_listing_sql),
+    "series_listing_by_rating": (L.series_listing, dict(genre="SMALL", min_rating=7.0, sort="rating", limit=20),
+                                 oracle.series_listing_sql),
+    "featured_movies": (L.featured_movies, {}, lambda **kw: oracle.featured_sql("movie", 1000)),
+    "featured_adult_movies": (L.featured_movies, dict(adult=True),
+                              lambda **kw: oracle.featured_sql("movie", 1000, adult=True)),
+    "featured_series": (L.featured_series, {}, lambda **kw: oracle.featured_sql("tvSeries", 500)),
+    "search": (L.search, dict(term="title 99"), oracle.search_sql),
+    "search_people": (L.search, dict(term="RSON 12"), oracle.search_sql),
+    "search_wildcard": (L.search, dict(term="1_3", adult=False), oracle.search_sql),
+}
+
 # name -> (job, keyword arguments)
 JOBS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "rating_by_decade": (A.rating_by_decade, {}),
@@ -51,6 +74,22 @@ JOBS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "dashboard": (A.dashboard, {}),
     "rating_rollup": (A.rating_rollup, {}),
     "next_decade_change": (A.next_decade_change, {}),
+    # pages (every key in one pass)
+    "movie_summary": (P.movie_summary, {}),
+    "movie_top_cast": (P.movie_top_cast, {}),
+    "movie_details": (P.movie_details, {}),
+    "cast_crew": (P.cast_crew, {}),
+    "series_summary": (P.series_summary, {}),
+    "series_top_cast": (P.series_top_cast, {}),
+    "season_breakdown": (P.season_breakdown, {}),
+    "episode_page": (P.episode_page, {}),
+    "episode_cast": (P.episode_cast, {}),
+    "person_page": (P.person_page, {}),
+    "filmography": (P.filmography, {}),
+    # listings, featured, search, filter support
+    **{name: (job, params) for name, (job, params, _) in LISTINGS.items()},
+    "genre_options": (L.genre_options, {}),
+    "year_range": (L.year_range, {}),
 }
 
 
@@ -63,6 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import oracle
-    statements = {**oracle.ANALYSIS}
+    statements = {**oracle.ANALYSIS, **oracle.PAGES}
+    statements.update({name: build(**params) for name, (_, params, build) in LISTINGS.items()})
     return {name: statements[name] for name in JOBS if name in statements}
