@@ -18,8 +18,13 @@ from pyspark.sql import types as T
 from . import oracle
 from .oracle import AS_OF_YEAR
 from .plans import analysis as A
+from .plans import checks as C
+from .plans import imports as I
 from .plans import listings as L
 from .plans import pages as P
+from .catalog import SCHEMAS, Catalog
+from .session import new_scratch_path
+from .sources.dump import test_details, write_test_dumps
 from .sources.testdata import catalog_from_testdata
 
 
@@ -93,15 +98,45 @@ JOBS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
 }
 
 
+def catalog_rows(cat: Catalog) -> DataFrame:
+    """Every table as (table_name, row text), for comparing whole catalogues."""
+    parts = []
+    for name, df in cat.tables().items():
+        cols = []
+        for f in SCHEMAS[name].fields:
+            c = F.col(f.name)
+            c = F.array_join(c, ", ") if isinstance(f.dataType, T.ArrayType) else c.cast("string")
+            cols.append(F.coalesce(c, F.lit("\\N")))
+        parts.append(df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *cols).alias("row")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def import_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I1-I9 + I11: write the test tables as raw dumps, import them into a new snapshot, return it."""
+    raw = new_scratch_path(spark, "dumps")
+    write_test_dumps(spark, sf_dir, raw)
+    snapshot = I.import_catalog(spark, raw, new_scratch_path(spark, "snapshot"),
+                                details=test_details(spark, sf_dir))
+    return catalog_rows(snapshot)
+
+
 def _run(job: Callable[..., DataFrame], kwargs: dict, spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_types(job(catalog_from_testdata(spark, sf_dir), **kwargs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(_run, job, kwargs) for name, (job, kwargs) in JOBS.items()}
+    out = {name: partial(_run, job, kwargs) for name, (job, kwargs) in JOBS.items()}
+    out["check_catalog"] = partial(_run, C.check_catalog, {})
+    out["import_catalog"] = import_roundtrip
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
     statements = {**oracle.ANALYSIS, **oracle.PAGES}
     statements.update({name: build(**params) for name, (_, params, build) in LISTINGS.items()})
-    return {name: statements[name] for name in JOBS if name in statements}
+    statements["check_catalog"] = oracle.check_catalog_sql()
+    statements["import_catalog"] = oracle.catalog_rows_sql()
+    return {name: statements[name] for name in queries() if name in statements}
