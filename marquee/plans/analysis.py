@@ -143,7 +143,8 @@ def director_performance(cat: Catalog, min_votes: int = 100, min_movies: int = 5
     best = top_k(out, [F.col("avg_rating").desc_nulls_first(), F.col("total_votes").desc_nulls_first(),
                        F.col("person_id").asc()], k)
     people = cat.people.select(F.col("id").alias("person_id"), "name")
-    return best.join(people, "person_id").select(
+    return best.join(people, "person_id").orderBy(
+        F.col("avg_rating").desc_nulls_first(), F.col("total_votes").desc_nulls_first(), "person_id").select(
         "name", "total_movies", "avg_rating", "consistency", "career_start", "career_end", "career_length",
         "total_votes", "rating_rank", "productivity_rank", "career_trajectory", "person_id",
     )
@@ -173,6 +174,8 @@ def actor_best_genre(cat: Catalog, min_votes: int = 100, min_movies: int = 10, k
                                F.col("genre").asc()], 1).drop("pos")
     people = cat.people.select(F.col("id").alias("person_id"), "name")
     return (best_actors.join(people, "person_id").join(top_genre, "person_id", "left")
+            .orderBy(F.col("overall_avg").desc_nulls_first(), F.col("total_career_votes").desc_nulls_first(),
+                     "person_id")
             .select("name", "total_movies",
                     round_half_up(F.col("overall_avg"), 2).alias("avg_rating"),
                     "total_career_votes",
@@ -242,6 +245,8 @@ def collaborations(cat: Catalog, min_count: int = 3, k: int = 50, sample: int =
     dp = people.select(F.col("id").alias("director_id"), F.col("name").alias("director_name"))
     ap = people.select(F.col("id").alias("actor_id"), F.col("name").alias("actor_name"))
     return (best.join(samples, ["director_id", "actor_id"]).join(dp, "director_id").join(ap, "actor_id")
+            .orderBy(F.col("collaboration_count").desc(), F.col("avg_raw").desc_nulls_first(), "director_id",
+                     "actor_id")
             .select("director_name", "actor_name", "collaboration_count",
                     round_half_up(F.col("avg_raw"), 2).alias("avg_rating"),
                     F.transform("_s", lambda s: s["primary_title"]).alias("sample_movies"),

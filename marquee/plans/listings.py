@@ -64,8 +64,8 @@ def movie_listing(cat: Catalog, year: int | None = None, genre: str | None = Non
         t = t.where(F.col("is_adult") == adult)
     t = _rated(_with_genre(t, cat, genre), cat, min_rating)
     page = top_k(t, _sort_keys(sort), limit, offset)
-    return _page_genres(page, cat).select("id", "primary_title", "start_year", "runtime_minutes", R,
-                                          "num_votes", "genres")
+    return _page_genres(page, cat).orderBy(*_sort_keys(sort)).select(
+        "id", "primary_title", "start_year", "runtime_minutes", R, "num_votes", "genres")
 
 
 def series_listing(cat: Catalog, start_year: int | None = None, end_year: int | None = None,
@@ -87,8 +87,8 @@ def series_listing(cat: Catalog, start_year: int | None = None, end_year: int |
     if min_seasons is not None:
         t = t.where(F.col("season_count") >= min_seasons)
     page = top_k(t, _sort_keys(sort), limit, offset)
-    return _page_genres(page, cat).select("id", "primary_title", "start_year", "end_year", R, "num_votes",
-                                          "season_count", "genres")
+    return _page_genres(page, cat).orderBy(*_sort_keys(sort)).select(
+        "id", "primary_title", "start_year", "end_year", R, "num_votes", "season_count", "genres")
 
 
 def _featured(cat: Catalog, title_type: str, adult: bool | None, min_votes: int, k: int) -> DataFrame:

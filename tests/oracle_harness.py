@@ -13,6 +13,7 @@ from collections import Counter
 
 import duckdb
 
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
