@@ -211,36 +211,38 @@ def genre_popularity(cat: Catalog, min_year: int = 1970) -> DataFrame:
 def collaborations(cat: Catalog, min_count: int = 3, k: int = 50, sample: int = 3) -> DataFrame:
     """Director-actor pairs with at least `min_count` shared movies; top k.
 
-    Exact pruning first: a pair's count is at most the actor's number of acting rows on movies, and
-    at most the director's number of movies times the acting categories a person can hold on one
-    title, so people below those bounds cannot reach `min_count`. The equi-join on title then emits the
-    director x cast combinations of each movie; counts aggregate map-side, and the first `sample`
-    titles per pair come from a group-limited window (at most `sample` rows per pair leave a task).
+    The equi-join on title emits the director x cast combinations of each movie (a movie's directors
+    are few) and the pair counts aggregate map-side. Directors with too few movies are cut first
+    (exact: a pair's count is at most the director's movies times the acting categories a person can
+    hold on one title). Only the k reported pairs need their first `sample` titles: those come from
+    the credits of the k pairs' people alone (broadcast semi-joins against at most k ids).
     """
-    movies = titles_of_type(cat, "movie", "id", "primary_title", "start_year")
-    d = credits(cat, ("director",)).join(movies.select("id"), F.col("title_id") == F.col("id"), "left_semi")
-    a = credits(cat, ACTING).join(movies.select("id"), F.col("title_id") == F.col("id"), "left_semi")
-    d = d.select("title_id", F.col("person_id").alias("director_id"))
-    a = a.select("title_id", F.col("person_id").alias("actor_id"))
-    busy_d = d.groupBy("director_id").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") * len(ACTING) >= min_count)
-    busy_a = a.groupBy("actor_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    d = d.join(busy_d.select("director_id"), "director_id", "left_semi")
-    a = a.join(busy_a.select("actor_id"), "actor_id", "left_semi")
-    pairs = d.join(a, "title_id").where(F.col("director_id") != F.col("actor_id"))
-    rated = movies.join(cat.ratings.select("title_id", "average_rating"),
-                        F.col("id") == F.col("title_id"), "left").drop("title_id")
-    pairs = pairs.join(rated, F.col("title_id") == F.col("id")).drop("id")
+    movie_ids = titles_of_type(cat, "movie", "id")
+    d = (credits(cat, ("director",)).join(movie_ids, F.col("title_id") == F.col("id"), "left_semi")
+         .select("title_id", F.col("person_id").alias("director_id")))
+    a = (credits(cat, ACTING).join(movie_ids, F.col("title_id") == F.col("id"), "left_semi")
+         .select("title_id", F.col("person_id").alias("actor_id")))
+    busy = d.groupBy("director_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * len(ACTING) >= min_count)
+    d_busy = d.join(busy.select("director_id"), "director_id", "left_semi")
+    pairs = (d_busy.join(a, "title_id").where(F.col("director_id") != F.col("actor_id"))
+             .join(cat.ratings.select("title_id", "average_rating"), "title_id", "left"))
     counts = pairs.groupBy("director_id", "actor_id").agg(
         F.count(F.lit(1)).alias("collaboration_count"),
         mean(R()).alias("avg_raw"),
     ).where(F.col("collaboration_count") >= min_count)
-    firsts = top_k_per_key(pairs, ["director_id", "actor_id"],
+    best = top_k(counts, [F.col("collaboration_count").desc(), F.col("avg_raw").desc_nulls_first(),
+                          F.col("director_id").asc(), F.col("actor_id").asc()], k)
+    # sample titles for the chosen pairs only
+    chosen = F.broadcast(best.select("director_id", "actor_id"))
+    d_few = d.join(F.broadcast(best.select("director_id")), "director_id", "left_semi")
+    a_few = a.join(F.broadcast(best.select("actor_id")), "actor_id", "left_semi")
+    titles = titles_of_type(cat, "movie", "id", "primary_title", "start_year")
+    chosen_pairs = (d_few.join(a_few, "title_id").join(chosen, ["director_id", "actor_id"], "left_semi")
+                    .join(titles, F.col("title_id") == F.col("id")))
+    firsts = top_k_per_key(chosen_pairs, ["director_id", "actor_id"],
                            [F.col("start_year").asc_nulls_last(), F.col("title_id").asc()], sample)
     samples = firsts.groupBy("director_id", "actor_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "primary_title"))).alias("_s"))
-    best = top_k(counts, [F.col("collaboration_count").desc(), F.col("avg_raw").desc_nulls_first(),
-                          F.col("director_id").asc(), F.col("actor_id").asc()], k)
     people = cat.people.select("id", "name")
     dp = people.select(F.col("id").alias("director_id"), F.col("name").alias("director_name"))
     ap = people.select(F.col("id").alias("actor_id"), F.col("name").alias("actor_name"))
