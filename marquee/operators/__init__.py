@@ -1,0 +1 @@
+"""Operators of the marquee catalogue library."""

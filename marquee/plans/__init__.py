@@ -1,0 +1 @@
+"""Plans of the marquee catalogue library."""

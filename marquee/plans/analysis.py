@@ -18,6 +18,7 @@ from ..catalog import Catalog
 from ..functions.columns import (decade, mean, mean_at_least, ratio_pct, round_dec, round_half_up,
                                  stddev, stddev_at_most, string_list)
 from ..operators.position import with_global_position, with_ntile
+from ..operators.running import running_aggregates
 from ..operators.topk import top_k, top_k_per_key
 from .common import ACTING, credits, genre_names, ratings_at_least, season_episode_counts, titles_of_type
 
@@ -396,16 +397,16 @@ def career_trajectory(cat: Catalog, min_votes: int = 100, min_movies: int = 8, k
         F.col("n") >= min_movies)
     top_names = top_k(per_name, [F.col("m").desc_nulls_first(), F.col("name").asc()], k).select("name")
     rows = named.join(F.broadcast(top_names), "name", "left_semi")
-    career = Window.partitionBy("person_id").orderBy(*_career_order())
-    running = career.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("person_id")
-    return rows.select(
+    # Running career statistics, kept parallel even for a director with a very long career.
+    run = running_aggregates(rows, "person_id", _career_order(), {"r": R()})
+    return run.select(
         "name", "primary_title", "start_year",
         round_half_up(R(), 1).alias("rating"),
-        round_half_up(mean(R(), over=running), 2).alias("running_avg"),
-        round_half_up(R().cast("double") - mean(R(), over=whole), 2).alias("vs_career_avg"),
-        F.row_number().over(career).cast("bigint").alias("career_movie_number"),
-        round_half_up(F.max(R()).over(running), 1).alias("peak_so_far"),
+        round_half_up(F.try_divide(F.col("r_sum").cast("double"), F.col("r_count")), 2).alias("running_avg"),
+        round_half_up(R().cast("double") - F.try_divide(F.col("r_total_sum").cast("double"), F.col("r_total_count")),
+                      2).alias("vs_career_avg"),
+        F.col("pos").cast("bigint").alias("career_movie_number"),
+        round_half_up(F.col("r_max"), 1).alias("peak_so_far"),
         "person_id", "title_id",
     ).orderBy("name", F.col("start_year").asc_nulls_last(), "person_id", "title_id")
 
@@ -414,18 +415,16 @@ def movies_since_last_hit(cat: Catalog, hit: float = 7.5, min_votes: int = 100)
     """Per director-movie, the count of movies since (and including) the last hit.
 
     Gaps and islands: each hit (rating > `hit`) opens an island and counts as 1 in it; movies before
-    the first hit form island 0. Computed as position minus the position of the latest hit so far.
+    the first hit form island 0. Computed as position minus the position of the latest hit so far,
+    both from the skew-safe running aggregates.
     """
     base = _movie_credits(cat, ("director",), min_votes)
-    career = Window.partitionBy("person_id").orderBy(*_career_order())
-    running = career.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pos = base.withColumn("_pos", F.row_number().over(career))
-    last_hit = F.max(F.when(R() > hit, F.col("_pos"))).over(running)
-    return pos.select(
+    run = running_aggregates(base, "person_id", _career_order(), {}, {"hit": R() > hit})
+    return run.select(
         "person_id", "title_id", "start_year",
         R().cast("double").alias("average_rating"),
-        F.when(last_hit.isNull(), F.col("_pos")).otherwise(F.col("_pos") - last_hit + 1).cast("bigint")
-        .alias("movies_since_last_hit"),
+        F.when(F.col("hit_last").isNull(), F.col("pos")).otherwise(F.col("pos") - F.col("hit_last") + 1)
+        .cast("bigint").alias("movies_since_last_hit"),
     )
 
 

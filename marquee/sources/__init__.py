@@ -1,0 +1 @@
+"""Sources of the marquee catalogue library."""

@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The catalogue source has no streams, watermarks, time windows, triggers or stateful operators; its
+input is six static dump files loaded in batch. Nothing is built here (see README, "Re-aimed or not
+built").
+"""

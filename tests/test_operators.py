@@ -54,3 +54,27 @@ def test_keep_first_and_insert_if_absent(spark):
     existing = spark.createDataFrame([("b", 0, "kept")], "k string, o int, val string")
     merged = insert_if_absent(new, existing, ["k"], [F.col("o")])
     assert sorted((r["k"], r["val"]) for r in merged.collect()) == [("a", "early"), ("b", "kept"), ("c", "c")]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_aggregates_equal_plain_windows_with_a_hot_key(spark, parts):
+    from decimal import Decimal
+    from marquee.operators.running import running_aggregates
+
+    rows = [(("hot" if i % 3 else f"k{i % 7}"), i, (None if i % 11 == 0 else Decimal(str((i * 37) % 50 / 10))))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, i int, x decimal(3,1)")
+    order = [F.col("i").asc()]
+    got = running_aggregates(df, "k", order, {"x": F.col("x")}, {"big": F.col("x") > 3}, partitions=parts)
+    w = Window.partitionBy("k").orderBy(*order)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ref = df.select(
+        "k", "i", "x", F.row_number().over(w).alias("pos"),
+        F.sum("x").over(upto).alias("x_sum"), F.count("x").over(upto).alias("x_count"),
+        F.max("x").over(upto).alias("x_max"),
+        F.sum("x").over(Window.partitionBy("k")).alias("x_total_sum"),
+        F.count("x").over(Window.partitionBy("k")).alias("x_total_count"),
+        F.max(F.when(F.col("x") > 3, F.row_number().over(w))).over(upto).alias("big_last"))
+    cols = ["k", "i", "x", "pos", "x_sum", "x_count", "x_max", "x_total_sum", "x_total_count", "big_last"]
+    norm = lambda df: sorted(tuple(float(v) if isinstance(v, Decimal) else v for v in r) for r in df.select(cols).collect())
+    assert norm(got) == norm(ref)
