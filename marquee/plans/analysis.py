@@ -19,7 +19,7 @@ from ..functions.columns import (decade, mean, mean_at_least, ratio_pct, round_d
                                  stddev, stddev_at_most, string_list)
 from ..operators.position import with_global_position, with_ntile
 from ..operators.running import running_aggregates
-from ..operators.topk import top_k, top_k_per_key
+from ..operators.topk import top_k, top_k_per_key, top_k_table
 from .common import ACTING, credits, genre_names, ratings_at_least, season_episode_counts, titles_of_type
 
 def R() -> F.Column:
@@ -163,7 +163,7 @@ def actor_best_genre(cat: Catalog, min_votes: int = 100, min_movies: int = 10, k
         mean(R()).alias("overall_avg"),
         F.sum("num_votes").cast("bigint").alias("total_career_votes"),
     ).where(F.col("total_movies") >= min_movies)
-    best_actors = top_k(overall, [F.col("overall_avg").desc_nulls_first(),
+    best_actors = top_k_table(overall, [F.col("overall_avg").desc_nulls_first(),
                                   F.col("total_career_votes").desc_nulls_first(), F.col("person_id").asc()], k)
     chosen = base.join(F.broadcast(best_actors.select("person_id")), "person_id", "left_semi")
     per_genre = chosen.join(genre_names(cat), "title_id").groupBy("person_id", "genre").agg(
@@ -231,7 +231,7 @@ def collaborations(cat: Catalog, min_count: int = 3, k: int = 50, sample: int =
         F.count(F.lit(1)).alias("collaboration_count"),
         mean(R()).alias("avg_raw"),
     ).where(F.col("collaboration_count") >= min_count)
-    best = top_k(counts, [F.col("collaboration_count").desc(), F.col("avg_raw").desc_nulls_first(),
+    best = top_k_table(counts, [F.col("collaboration_count").desc(), F.col("avg_raw").desc_nulls_first(),
                           F.col("director_id").asc(), F.col("actor_id").asc()], k)
     # sample titles for the chosen pairs only
     chosen = F.broadcast(best.select("director_id", "actor_id"))
@@ -472,7 +472,7 @@ def most_voted(cat: Catalog, min_votes: int = 10000, k: int = 100) -> DataFrame:
     t = cat.titles.select("id", "title_type", "primary_title", "start_year")
     r = ratings_at_least(cat, min_votes).select("title_id", "average_rating", "num_votes")
     tr = t.join(r, t["id"] == r["title_id"]).drop("title_id")
-    best = top_k(tr, [F.col("num_votes").desc(), F.col("id").asc()], k)
+    best = top_k_table(tr, [F.col("num_votes").desc(), F.col("id").asc()], k)
     genres = (genre_names(cat).join(F.broadcast(best.select("id")), F.col("title_id") == F.col("id"), "left_semi")
               .groupBy("title_id").agg(string_list(F.col("genre")).alias("genres")))
     w = Window.partitionBy("title_type", "start_year").orderBy(F.col("num_votes").desc())

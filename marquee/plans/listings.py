@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.columns import string_list
-from ..operators.topk import top_k, top_k_per_key
+from ..operators.topk import top_k, top_k_per_key, top_k_table
 from .common import genre_names, season_episode_counts, titles_of_type
 
 R = "average_rating"
@@ -63,7 +63,7 @@ def movie_listing(cat: Catalog, year: int | None = None, genre: str | None = Non
     if adult is not None:
         t = t.where(F.col("is_adult") == adult)
     t = _rated(_with_genre(t, cat, genre), cat, min_rating)
-    page = top_k(t, _sort_keys(sort), limit, offset)
+    page = top_k_table(t, _sort_keys(sort), limit, offset)
     return _page_genres(page, cat).orderBy(*_sort_keys(sort)).select(
         "id", "primary_title", "start_year", "runtime_minutes", R, "num_votes", "genres")
 
@@ -86,7 +86,7 @@ def series_listing(cat: Catalog, start_year: int | None = None, end_year: int |
          .withColumn("season_count", F.coalesce("season_count", F.lit(0))))
     if min_seasons is not None:
         t = t.where(F.col("season_count") >= min_seasons)
-    page = top_k(t, _sort_keys(sort), limit, offset)
+    page = top_k_table(t, _sort_keys(sort), limit, offset)
     return _page_genres(page, cat).orderBy(*_sort_keys(sort)).select(
         "id", "primary_title", "start_year", "end_year", R, "num_votes", "season_count", "genres")
 
