@@ -182,3 +182,25 @@ def test_listing_pages_concatenate_to_the_whole_list(spark):
     for offset in range(0, len(whole), 37):
         paged += [r["id"] for r in L.movie_listing(cat, genre="PROMO", sort="year", limit=37, offset=offset).collect()]
     assert paged == whole and len(whole) > 37
+
+
+def test_check_catalog_reports_each_kind_of_violation(spark):
+    from marquee.plans.checks import check_catalog
+    titles = [movie(1), movie(1, title="dup"), movie(2, kind="x" * 21)]
+    cat = make_catalog(
+        spark, titles=titles, people=[("nm1", "P", None, None)],
+        title_people=[("tt1", "nm1", "director", None, None), ("tt9", "nm404", "actor", None, None)],
+        genres=[(1, "Drama"), (2, "Drama")], title_genres=[("tt1", 3)],
+        ratings=[("tt404", d(5.0), 1)], episodes=[("tt2", "tt77", 1, 1)])
+    found = {(r["table"], r["rule"]): (r["violations"], r["sample"]) for r in check_catalog(cat).collect()
+             if r["violations"]}
+    assert found == {
+        ("titles", "primary key (id) unique"): (1, "tt1"),
+        ("titles", "length(title_type) <= 20"): (1, "tt2"),
+        ("genres", "(name) unique"): (1, "Drama"),
+        ("episodes", "parent_series_id references titles(id)"): (1, "tt2"),
+        ("title_people", "title_id references titles(id)"): (1, "tt9|nm404|actor"),
+        ("title_people", "person_id references people(id)"): (1, "tt9|nm404|actor"),
+        ("title_genres", "genre_id references genres(id)"): (1, "tt1|3"),
+        ("ratings", "title_id references titles(id)"): (1, "tt404"),
+    }
