@@ -9,8 +9,6 @@ every rank is deterministic.
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -324,7 +322,7 @@ QUALITY = ["Excellent", "Good", "Average", "Below Average"]
 
 def series_longevity_frame(cat: Catalog, as_of_year: int | None = None) -> DataFrame:
     """Per series with at least one numbered season: seasons, episodes, duration and both labels."""
-    year = as_of_year if as_of_year is not None else datetime.date.today().year
+    year = F.lit(as_of_year) if as_of_year is not None else F.year(F.current_date())
     s = titles_of_type(cat, "tvSeries", "id", "primary_title", "start_year", "end_year").where(
         F.col("start_year").isNotNull())
     counts = season_episode_counts(cat)
@@ -341,7 +339,7 @@ def series_longevity_frame(cat: Catalog, as_of_year: int | None = None) -> DataF
         "id", "primary_title", "start_year", "end_year", "average_rating", "num_votes",
         seasons.alias("total_seasons"),
         F.col("episode_count").alias("total_episodes"),
-        (F.coalesce(F.col("end_year"), F.lit(year)) - F.col("start_year") + 1).alias("series_duration"),
+        (F.coalesce(F.col("end_year"), year) - F.col("start_year") + 1).alias("series_duration"),
         round_dec(F.try_divide(F.col("episode_count").cast("double"), seasons.cast("double")), 1)
         .alias("avg_episodes_per_season"),
         longevity.alias("longevity_category"),

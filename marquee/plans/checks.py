@@ -12,10 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import FOREIGN_KEYS, PRIMARY_KEYS, Catalog
+from ..catalog import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, Catalog
 
-# NOT NULL columns besides the keys (fixed by the source DDL).
-NOT_NULL = {"titles": ["title_type", "primary_title"], "people": ["name"], "genres": ["name"]}
 UNIQUE = {"genres": ["name"]}
 MAX_LENGTH = {("titles", "title_type"): 20}
 

@@ -149,3 +149,22 @@ def test_snapshot_folder_is_never_overwritten(spark, imported):
     with pytest.raises(Exception):
         import_catalog(spark, raw, os.path.join(scratch, "snap1"))
     assert read_catalog(spark, os.path.join(scratch, "snap1")).titles.count() == 4
+
+
+def test_bad_values_fail_without_ansi_too(spark, scratch):
+    raw = os.path.join(scratch, "bad")
+    write_all(raw, basics=BASICS + [["tt9", "movie", "Bad adult flag", N, "maybe", "1999", N, N, N]])
+    previous = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="is_adult is not a valid boolean"):
+            import_catalog(spark, raw, os.path.join(scratch, "out"))
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", previous)
+
+
+def test_null_primary_title_is_refused(spark, scratch):
+    raw = os.path.join(scratch, "bad")
+    write_all(raw, basics=BASICS + [["tt9", "movie", N, N, "0", "1999", N, N, N]])
+    with pytest.raises(Exception, match="primary_title: null value"):
+        import_catalog(spark, raw, os.path.join(scratch, "out"))
