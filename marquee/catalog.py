@@ -152,8 +152,15 @@ PARTITION_COLUMNS = {"titles": ["title_type"]}
 
 
 def write_catalog(catalog: Catalog, path: str, mode: str = "errorifexists") -> None:
-    for name, df in catalog.tables().items():
-        writer = conform(df, SCHEMAS[name]).write.mode(mode)
-        if name in PARTITION_COLUMNS:
-            writer = writer.partitionBy(*PARTITION_COLUMNS[name])
-        writer.parquet(f"{path}/{name}")
+    """Write all eight tables (independent jobs, submitted side by side)."""
+    from .session import run_concurrently
+
+    def write(name: str, df: DataFrame):
+        def job():
+            writer = conform(df, SCHEMAS[name]).write.mode(mode)
+            if name in PARTITION_COLUMNS:
+                writer = writer.partitionBy(*PARTITION_COLUMNS[name])
+            writer.parquet(f"{path}/{name}")
+        return job
+
+    run_concurrently(*[write(name, df) for name, df in catalog.tables().items()])

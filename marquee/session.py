@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -58,3 +60,14 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
     base = scratch_dir(spark)
     suffix = next(tempfile._get_candidate_names())  # noqa: SLF001 - short random token
     return f"{base}/{name}-{os.getpid()}-{suffix}"
+
+
+def run_concurrently(*jobs: Callable[[], object]) -> list[object]:
+    """Run independent Spark actions from separate threads so that their stages share the cluster
+    instead of queueing one job after another; returns their results in order, re-raising the
+    first failure."""
+    if len(jobs) == 1:
+        return [jobs[0]()]
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        futures = [pool.submit(job) for job in jobs]
+        return [f.result() for f in futures]
