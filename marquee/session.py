@@ -41,8 +41,9 @@ def get_spark(master: str | None = None, app: str = "marquee", conf: dict | None
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when set; otherwise (local runs only) makes a new
-    temporary folder and registers it as the checkpoint dir.
+    Uses the cluster's ``spark.checkpoint.dir`` when set. Only a local-mode session (tests, local
+    benchmarks) gets a new temporary folder when the setting is absent; on a cluster a machine-local
+    folder would be invisible to the executors, so the setting is required there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +51,9 @@ def scratch_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(checkpoints and intermediate tables are written there)")
         configured = tempfile.mkdtemp(prefix="marquee-ckpt-")
     sc.setCheckpointDir(configured)
     return (sc.getCheckpointDir() or configured).rstrip("/")
