@@ -9,8 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import InheritableThread
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: AQE re-plans joins from runtime sizes (broadcast only when the
@@ -69,9 +69,24 @@ def new_scratch_path(spark: SparkSession, name: str) -> str:
 def run_concurrently(*jobs: Callable[[], object]) -> list[object]:
     """Run independent Spark actions from separate threads so that their stages share the cluster
     instead of queueing one job after another; returns their results in order, re-raising the
-    first failure."""
+    first failure. Threads inherit the caller's local properties (job group, scheduler pool)."""
     if len(jobs) == 1:
         return [jobs[0]()]
-    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        futures = [pool.submit(job) for job in jobs]
-        return [f.result() for f in futures]
+    results: list[object] = [None] * len(jobs)
+    errors: list[BaseException | None] = [None] * len(jobs)
+
+    def run(i: int, job: Callable[[], object]) -> None:
+        try:
+            results[i] = job()
+        except BaseException as exc:  # re-raised in the caller's thread below
+            errors[i] = exc
+
+    threads = [InheritableThread(target=run, args=(i, job)) for i, job in enumerate(jobs)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    for exc in errors:
+        if exc is not None:
+            raise exc
+    return results
