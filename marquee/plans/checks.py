@@ -3,6 +3,8 @@
 Rules: primary keys unique and not NULL, NOT NULL columns, the unique genre name, every foreign key
 resolvable, and the 20-character bound of `title_type`. Each rule yields one row
 (table, rule, violations, sample) where `sample` is the smallest offending key (NULL when clean).
+The row-level rules of a table share one scan; key rules are one aggregation each (combined
+map-side), foreign keys one anti-join each.
 """
 
 from __future__ import annotations
@@ -33,19 +35,28 @@ def _duplicates(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
 
 
+def _row_checks(table: str, df: DataFrame, checks: list[tuple[str, Column]], key_cols: list[str]) -> DataFrame:
+    """All row-level rules of one table (NOT NULL, length) in one scan: one output row per rule."""
+    key = _key_text(key_cols)
+    stats = df.agg(*[c for i, (_, cond) in enumerate(checks) for c in (
+        F.count(F.when(cond, 1)).alias(f"_n{i}"), F.min(F.when(cond, key)).alias(f"_s{i}"))])
+    rules = [F.struct(F.lit(table).alias("table"), F.lit(rule).alias("rule"),
+                      F.col(f"_n{i}").alias("violations"), F.col(f"_s{i}").alias("sample"))
+             for i, (rule, _) in enumerate(checks)]
+    return stats.select(F.explode(F.array(*rules)).alias("r")).select("r.*")
+
+
 def check_catalog(cat: Catalog) -> DataFrame:
     tables = cat.tables()
     rows = []
     for table, key in PRIMARY_KEYS.items():
         df = tables[table]
         rows.append(_row(table, f"primary key ({', '.join(key)}) unique", _duplicates(df, key), key))
-        for c in key + NOT_NULL.get(table, []):
-            rows.append(_row(table, f"{c} not null", df.where(F.col(c).isNull()), key))
+        checks = [(f"{c} not null", F.col(c).isNull()) for c in key + NOT_NULL.get(table, [])]
+        checks += [(f"length({col}) <= {n}", F.length(col) > n) for (t, col), n in MAX_LENGTH.items() if t == table]
+        rows.append(_row_checks(table, df, checks, key))
     for table, cols in UNIQUE.items():
         rows.append(_row(table, f"({', '.join(cols)}) unique", _duplicates(tables[table], cols), cols))
-    for (table, col), n in MAX_LENGTH.items():
-        df = tables[table]
-        rows.append(_row(table, f"length({col}) <= {n}", df.where(F.length(col) > n), PRIMARY_KEYS[table]))
     for table, col, ref, ref_col in FOREIGN_KEYS:
         df = tables[table].where(F.col(col).isNotNull())
         target = tables[ref].select(F.col(ref_col).alias("_ref"))
