@@ -258,7 +258,7 @@ def genre_pairs(cat: Catalog, min_count: int = 20, k: int = 30) -> DataFrame:
     """Unordered genre pairs on one movie: count, mean, votes, success rank; top k.
 
     Pairs are formed per movie from its genre set (bounded by the genre vocabulary), then aggregated
-    map-side per pair.
+    map-side per pair; the ranking runs on the per-pair frame, which the vocabulary bounds.
     """
     movies = titles_of_type(cat, "movie", "id")
     tg = cat.title_genres.join(movies, F.col("title_id") == F.col("id"), "left_semi")
@@ -274,9 +274,11 @@ def genre_pairs(cat: Catalog, min_count: int = 20, k: int = 30) -> DataFrame:
     ).where(F.col("combination_count") >= min_count)
     named = (agg.join(names.select(F.col("id").alias("g1"), F.col("name").alias("genre1")), "g1")
              .join(names.select(F.col("id").alias("g2"), F.col("name").alias("genre2")), "g2"))
-    ranked = with_global_position(named, [F.col("avg_raw").desc_nulls_first(),
-                                          F.col("total_popularity").desc_nulls_first(),
-                                          F.col("genre1").asc(), F.col("genre2").asc()], name="success_rank")
+    # One row per genre pair: at most vocabulary^2 / 2 rows whatever the data size, so the global
+    # ROW_NUMBER runs as a plain window on this small frame.
+    success = Window.orderBy(F.col("avg_raw").desc_nulls_first(), F.col("total_popularity").desc_nulls_first(),
+                             F.col("genre1").asc(), F.col("genre2").asc())
+    ranked = named.withColumn("success_rank", F.row_number().over(success).cast("bigint"))
     out = ranked.select("genre1", "genre2", "combination_count",
                         round_half_up(F.col("avg_raw"), 2).alias("avg_rating"),
                         "total_popularity", "success_rank")
