@@ -147,8 +147,9 @@ def read_catalog(spark: SparkSession, path: str) -> Catalog:
     })
 
 
-# Partition columns of the snapshot layout: `titles` by type, so type filters prune files.
-PARTITION_COLUMNS = {"titles": ["title_type"]}
+# Partition columns of the snapshot layout: `titles` by type and credits by category (both a handful
+# of values), so the type and role filters of the jobs prune whole folders of the largest tables.
+PARTITION_COLUMNS = {"titles": ["title_type"], "title_people": ["category"]}
 
 
 def write_catalog(catalog: Catalog, path: str, mode: str = "errorifexists") -> None:

@@ -45,3 +45,11 @@ def test_search_many_refuses_unbounded_term_lists(spark):
     terms = spark.createDataFrame([("a",), ("b",)], "term string")
     with pytest.raises(ValueError, match="exceed the broadcast bound"):
         search_many(test_catalog(spark, SF_SMALL), terms, max_terms=1)
+
+
+@pytest.mark.parametrize("name", ["movie_summary", "movie_top_cast", "series_top_cast", "episode_cast"])
+def test_credit_scans_prune_categories(spark, name):
+    plan = executed_plan(spark, name)
+    scans = [s for s in re.findall(r"FileScan parquet [^\n]*", plan) if "title_people" in s or "category" in s]
+    assert any("PartitionFilters: [" in s and "category" in s.split("PartitionFilters: [")[1].split("]")[0]
+               for s in scans), scans
