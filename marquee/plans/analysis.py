@@ -318,6 +318,7 @@ def success_profile(cat: Catalog, min_votes: int = 1000, tiles: int = 4) -> Data
     ).orderBy(F.col("rating_quartile").desc())
 
 
+# Fixed values of the source system: the longevity and quality labels, in report order.
 LONGEVITY = ["Long-running (10+ seasons)", "Medium-run (5-9 seasons)", "Short-run (2-4 seasons)", "Single season"]
 QUALITY = ["Excellent", "Good", "Average", "Below Average"]
 
@@ -500,6 +501,7 @@ def dashboard(cat: Catalog) -> DataFrame:
         mean_text("movie").alias("movie_rating"),
         mean_text("tvSeries").alias("series_rating"),
     )
+    # metric names and their order are fixed values of the source system's dashboard
     def row(i: int, metric: str, value) -> F.Column:
         return F.struct(F.lit(i).alias("i"), F.lit(metric).alias("metric"), value.cast("string").alias("value"))
 
