@@ -1,10 +1,10 @@
 """Registered queries: every job with the parameters it is checked with, on the test-data catalogue.
 
-`queries()` maps a name to `(spark, sf_dir) -> DataFrame`; each builds the catalogue from the star
-schema at `sf_dir` (lazily; a job only scans what it reads), runs the job and converts the result to
-plain column types (decimals to double, arrays to ', '-joined text) so that it can be compared
-value by value with its SQL twin in `marquee.oracle`. The mapped catalogue is materialised once per
-session and input folder (`test_catalog`), like the snapshot an import leaves behind.
+`queries()` maps a name to `(spark, sf_dir) -> DataFrame`; each runs its job on the catalogue mapped
+from the star schema at `sf_dir` and converts the result to plain column types (decimals to double,
+arrays to ', '-joined text) so that it can be compared value by value with its SQL twin in
+`marquee.oracle`. The mapped catalogue is materialised once per session and input folder
+(`catalog_snapshot`), like the snapshot an import leaves behind, and jobs read that snapshot.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .plans import listings as L
 from .plans import pages as P
 from .catalog import SCHEMAS, Catalog, read_catalog, write_catalog
 from .session import new_scratch_path
-from .sources.dump import test_details, write_test_dumps
+from .sources.dump import detail_rows, write_test_dumps
 from .sources.testdata import catalog_from_testdata
 
 
@@ -132,14 +132,14 @@ def import_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I1-I9 + I11: import the raw dumps derived from the test tables into a new snapshot, return it."""
     raw = _test_dumps(spark, sf_dir)
     snapshot = I.import_catalog(spark, raw, new_scratch_path(spark, "snapshot"),
-                                details=test_details(spark, sf_dir))
+                                details=detail_rows(spark, sf_dir))
     return catalog_rows(snapshot)
 
 
 _CATALOGS: dict[tuple[str, str], str] = {}
 
 
-def test_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+def catalog_snapshot(spark: SparkSession, sf_dir: str) -> Catalog:
     """The catalogue mapped from the test tables, written once per session and input folder as a
     Parquet snapshot in the shared scratch folder (as the import would leave it), then read back.
     Jobs then read catalogue tables, not the star schema, as they would in production."""
@@ -152,7 +152,7 @@ def test_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def _run(job: Callable[..., DataFrame], kwargs: dict, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain_types(job(test_catalog(spark, sf_dir), **kwargs))
+    return plain_types(job(catalog_snapshot(spark, sf_dir), **kwargs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -41,10 +41,10 @@ def test_typed_title_scans_prune_partitions(spark, name):
 
 def test_search_many_refuses_unbounded_term_lists(spark):
     from marquee.plans.listings import search_many
-    from marquee.registry import test_catalog
+    from marquee.registry import catalog_snapshot
     terms = spark.createDataFrame([("a",), ("b",)], "term string")
     with pytest.raises(ValueError, match="exceed the broadcast bound"):
-        search_many(test_catalog(spark, SF_SMALL), terms, max_terms=1)
+        search_many(catalog_snapshot(spark, SF_SMALL), terms, max_terms=1)
 
 
 @pytest.mark.parametrize("name", ["movie_summary", "movie_top_cast", "series_top_cast", "episode_cast"])

@@ -23,7 +23,7 @@ NAMES = [n for n in registry.queries() if n != "import_catalog"]
 
 @pytest.fixture(scope="module")
 def skewed(spark, tmp_path_factory):
-    base = registry.test_catalog(spark, SF_SMALL)
+    base = registry.catalog_snapshot(spark, SF_SMALL)
     hot_title = base.titles.where(F.col("title_type") == "movie").agg(F.min("id")).first()[0]
     hot_person = base.people.agg(F.min("id")).first()[0]
     tp = base.title_people
