@@ -78,3 +78,14 @@ def test_running_aggregates_equal_plain_windows_with_a_hot_key(spark, parts):
     cols = ["k", "i", "x", "pos", "x_sum", "x_count", "x_max", "x_total_sum", "x_total_count", "big_last"]
     norm = lambda df: sorted(tuple(float(v) if isinstance(v, Decimal) else v for v in r) for r in df.select(cols).collect())
     assert norm(got) == norm(ref)
+
+
+def test_run_concurrently_returns_in_order_and_reraises(spark):
+    from marquee.session import run_concurrently
+    assert run_concurrently(lambda: spark.range(3).count(), lambda: spark.range(5).count()) == [3, 5]
+
+    def boom():
+        raise RuntimeError("write failed")
+
+    with pytest.raises(RuntimeError, match="write failed"):
+        run_concurrently(lambda: spark.range(2).count(), boom)
