@@ -3,8 +3,7 @@
 Rules: primary keys unique and not NULL, NOT NULL columns, the unique genre name, every foreign key
 resolvable, and the 20-character bound of `title_type`. Each rule yields one row
 (table, rule, violations, sample) where `sample` is the smallest offending key (NULL when clean).
-The row-level rules of a table share one scan; key rules are one aggregation each (combined
-map-side), foreign keys one anti-join each.
+All rules run in a few passes (see `check_catalog`).
 """
 
 from __future__ import annotations
@@ -24,42 +23,56 @@ def _key_text(cols: list[str]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols])
 
 
-def _row(table: str, rule: str, offending: DataFrame, key_cols: list[str]) -> DataFrame:
-    return offending.agg(
-        F.count(F.lit(1)).alias("violations"),
-        F.min(_key_text(key_cols)).alias("sample"),
-    ).select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), "violations", "sample")
-
-
-def _duplicates(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-
-
-def _row_checks(table: str, df: DataFrame, checks: list[tuple[str, Column]], key_cols: list[str]) -> DataFrame:
-    """All row-level rules of one table (NOT NULL, length) in one scan: one output row per rule."""
-    key = _key_text(key_cols)
-    stats = df.agg(*[c for i, (_, cond) in enumerate(checks) for c in (
-        F.count(F.when(cond, 1)).alias(f"_n{i}"), F.min(F.when(cond, key)).alias(f"_s{i}"))])
-    rules = [F.struct(F.lit(table).alias("table"), F.lit(rule).alias("rule"),
-                      F.col(f"_n{i}").alias("violations"), F.col(f"_s{i}").alias("sample"))
-             for i, (rule, _) in enumerate(checks)]
-    return stats.select(F.explode(F.array(*rules)).alias("r")).select("r.*")
+def _rules() -> list[tuple[str, str]]:
+    """Every (table, rule) pair checked, in report order."""
+    rules = []
+    for table, key in PRIMARY_KEYS.items():
+        rules.append((table, f"primary key ({', '.join(key)}) unique"))
+        rules += [(table, f"{c} not null") for c in key + NOT_NULL.get(table, [])]
+        rules += [(table, f"length({col}) <= {n}") for (t, col), n in MAX_LENGTH.items() if t == table]
+    rules += [(table, f"({', '.join(cols)}) unique") for table, cols in UNIQUE.items()]
+    rules += [(table, f"{col} references {ref}({ref_col})") for table, col, ref, ref_col in FOREIGN_KEYS]
+    return rules
 
 
 def check_catalog(cat: Catalog) -> DataFrame:
+    """One row per rule: (table, rule, violations, sample).
+
+    Few passes whatever the number of rules: one aggregation over the keys of all tables
+    (uniqueness), one scan per table that emits its row-level violations, and one anti-join per
+    referenced table against all columns that reference it; a join onto the rule list reports the
+    clean rules with 0.
+    """
     tables = cat.tables()
-    rows = []
+    spark = cat.titles.sparkSession
+    # uniqueness: (table, rule, key text) of every row, duplicates counted in one aggregation
+    unique_sets = [(t, f"primary key ({', '.join(k)}) unique", k) for t, k in PRIMARY_KEYS.items()]
+    unique_sets += [(t, f"({', '.join(c)}) unique", c) for t, c in UNIQUE.items()]
+    keyed = reduce(DataFrame.unionByName, [
+        tables[t].select(F.lit(t).alias("table"), F.lit(rule).alias("rule"), _key_text(cols).alias("key"))
+        for t, rule, cols in unique_sets])
+    duplicated = (keyed.groupBy("table", "rule", "key").agg(F.count(F.lit(1)).alias("_n"))
+                  .where(F.col("_n") > 1).select("table", "rule", "key"))
+    # row-level rules: one scan per table, one output row per violated rule
+    violations = []
     for table, key in PRIMARY_KEYS.items():
-        df = tables[table]
-        rows.append(_row(table, f"primary key ({', '.join(key)}) unique", _duplicates(df, key), key))
         checks = [(f"{c} not null", F.col(c).isNull()) for c in key + NOT_NULL.get(table, [])]
-        checks += [(f"length({col}) <= {n}", F.length(col) > n) for (t, col), n in MAX_LENGTH.items() if t == table]
-        rows.append(_row_checks(table, df, checks, key))
-    for table, cols in UNIQUE.items():
-        rows.append(_row(table, f"({', '.join(cols)}) unique", _duplicates(tables[table], cols), cols))
-    for table, col, ref, ref_col in FOREIGN_KEYS:
-        df = tables[table].where(F.col(col).isNotNull())
-        target = tables[ref].select(F.col(ref_col).alias("_ref"))
-        missing = df.join(target, df[col] == target["_ref"], "left_anti")
-        rows.append(_row(table, f"{col} references {ref}({ref_col})", missing, PRIMARY_KEYS[table]))
-    return reduce(DataFrame.unionByName, rows)
+        checks += [(f"length({col}) <= {n}", F.length(col) > n)
+                   for (t, col), n in MAX_LENGTH.items() if t == table]
+        failed = F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in checks]), lambda r: r.isNotNull())
+        violations.append(tables[table].select(F.lit(table).alias("table"), F.explode(failed).alias("rule"),
+                                               _key_text(key).alias("key")))
+    # foreign keys: all columns referencing one table, checked with one anti-join
+    for ref in sorted({r for _, _, r, _ in FOREIGN_KEYS}):
+        sources = [tables[t].where(F.col(col).isNotNull()).select(
+            F.lit(t).alias("table"), F.lit(f"{col} references {r}({rc})").alias("rule"),
+            _key_text(PRIMARY_KEYS[t]).alias("key"), F.col(col).cast("string").alias("_ref"))
+            for t, col, r, rc in FOREIGN_KEYS if r == ref]
+        ref_col = next(rc for _, _, r, rc in FOREIGN_KEYS if r == ref)
+        target = tables[ref].select(F.col(ref_col).cast("string").alias("_ref"))
+        violations.append(reduce(DataFrame.unionByName, sources).join(target, "_ref", "left_anti").drop("_ref"))
+    found = reduce(DataFrame.unionByName, [duplicated, *violations]).groupBy("table", "rule").agg(
+        F.count(F.lit(1)).alias("violations"), F.min("key").alias("sample"))
+    rules = spark.createDataFrame(_rules(), "table string, rule string")
+    return rules.join(found, ["table", "rule"], "left").select(
+        "table", "rule", F.coalesce("violations", F.lit(0)).alias("violations"), "sample")
