@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from fixtures import d, make_catalog, movie
@@ -204,3 +205,21 @@ def test_check_catalog_reports_each_kind_of_violation(spark):
         ("title_genres", "genre_id references genres(id)"): (1, "tt1|3"),
         ("ratings", "title_id references titles(id)"): (1, "tt404"),
     }
+
+
+PAGE_KEYS = {"movie_summary": "id", "movie_top_cast": "title_id", "movie_details": "id", "cast_crew": "title_id",
+             "series_summary": "id", "series_top_cast": "title_id", "season_breakdown": "parent_series_id",
+             "episode_page": "id", "episode_cast": "title_id", "person_page": "id", "filmography": "person_id"}
+
+
+@pytest.mark.parametrize("name", sorted(PAGE_KEYS))
+def test_pages_for_some_keys_equal_the_batch_rows(spark, name):
+    from conftest import SF_SMALL
+    from marquee.registry import catalog_snapshot
+    cat = catalog_snapshot(spark, SF_SMALL)
+    job, key = getattr(P, name), PAGE_KEYS[name]
+    full = job(cat).collect()
+    chosen = sorted({r[key] for r in full})[::max(1, len(full) // 3)][:3]
+    keys = spark.createDataFrame([(k,) for k in chosen], "id string")
+    some = job(cat, keys=keys).collect()
+    assert chosen and sorted(some) == sorted(r for r in full if r[key] in chosen)
