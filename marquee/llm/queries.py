@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lines, quality, simhash
+from . import lines, packing, quality, simhash, substring
 from .common import table
 
 
+def op1_length_buckets(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_fm_index(spark, sf_dir):
+    return substring.dedup_substrings(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -25,12 +34,31 @@ def op9_line_bloom(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_length_buckets": op1_length_buckets,
+    "op3_fm_index": op3_fm_index,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_trie": op7_simhash_trie,
     "op9_line_bloom": op9_line_bloom,
 }
 
 ORACLE_SQL = {
+    "op3_fm_index": r"""
+WITH w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)),
+g AS (SELECT doc_id, pos, md5(string_agg(word, ' ') OVER (
+        PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS seq, n FROM w),
+r AS (SELECT doc_id, pos FROM g WHERE pos + 34 <= n
+      QUALIFY count(*) OVER (PARTITION BY seq) > 1),
+c AS (SELECT w.doc_id, w.pos, w.word, max(r.pos) OVER (
+        PARTITION BY w.doc_id ORDER BY w.pos ROWS UNBOUNDED PRECEDING) AS covering
+      FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.pos = w.pos),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (covering + 34 >= pos) AS n_removed,
+             string_agg(word, ' ' ORDER BY pos) FILTER (covering IS NULL OR covering + 34 < pos) AS kept
+      FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)""",
     "op9_line_bloom": r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
