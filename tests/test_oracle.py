@@ -6,10 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from marquee import registry
 from oracle_harness import compare, duck
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = registry.queries()
+SQL = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
