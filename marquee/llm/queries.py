@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, simhash, substring
+from . import bpe, brown, lines, packing, pivots, quality, simhash, substring, urls, wrapper
 from .common import table
 
 
@@ -12,11 +12,24 @@ def op1_length_buckets(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_pivot_permutations(spark, sf_dir):
+    return pivots.embedding_components(table(spark, sf_dir, "embeddings"))
+
+
 def op3_fm_index(spark, sf_dir):
     return substring.dedup_substrings(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_wrapper_induction(spark, sf_dir):
+    return wrapper.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_brown_classes(spark, sf_dir):
+    return brown.brown_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -33,15 +46,49 @@ def op9_line_bloom(spark, sf_dir):
         "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_bpe_rounds(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return bpe.decode(encoded, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_url_models(spark, sf_dir):
+    return urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).select(
+        "page_id", "host", "path", "rule", "verdict", "url_score")
+
+
 QUERIES = {
     "op1_length_buckets": op1_length_buckets,
+    "op2_pivot_permutations": op2_pivot_permutations,
     "op3_fm_index": op3_fm_index,
+    "op4_wrapper_induction": op4_wrapper_induction,
+    "op5_brown_classes": op5_brown_classes,
+    "op8_bpe_rounds": op8_bpe_rounds,
+    "op10_url_models": op10_url_models,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_trie": op7_simhash_trie,
     "op9_line_bloom": op9_line_bloom,
 }
 
 ORACLE_SQL = {
+    "op2_pivot_permutations": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+c AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings
+      UNION SELECT c.node, p.v FROM c JOIN p ON c.reached = p.u),
+m AS (SELECT node, min(reached) AS component_id FROM c GROUP BY node),
+n AS (SELECT u, count(*) AS n_links FROM p GROUP BY u)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN m ON m.node = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
     "op3_fm_index": r"""
 WITH w AS (
   SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n
