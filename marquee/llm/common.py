@@ -15,8 +15,8 @@ from ..session import new_scratch_path
 # White space of every contract: [\x20\x09-\x0D]. `bytes.split()` splits at exactly these bytes.
 WHITE_SPACE = "[ \t-\r]+"
 
-# A key is joined by broadcast if it is among the most frequent HOT_KEYS; every other key then holds
-# less than one row in HOT_KEYS, so no shuffle partition gets more than that from a single key.
+# A key with more than one row in HOT_KEYS is joined by broadcast: there are fewer than HOT_KEYS of them,
+# and no shuffle partition gets more than that share from any other key.
 HOT_KEYS = 1000
 
 
@@ -99,12 +99,23 @@ def _last_run(whole: pa.Table, keys: list[str]) -> int:
     return int(other[-1]) + 1 if other.size else 0
 
 
+def smallest_hashes(df: DataFrame, key: str, k: int) -> DataFrame:
+    """The `k` rows with the smallest hashes of `key`. Rows that cannot be among them are left out before
+    the sort, so no task passes on more than its share."""
+    share = min(1.0, 1.2 * k / max(1, df.count()))
+    order = F.xxhash64(key)
+    few = df if share == 1.0 or share * df.count() < 1000 else df.where(F.shiftrightunsigned(order, 32) < int(share * (1 << 32)))
+    return few.orderBy(F.shiftrightunsigned(order, 32), order, key).limit(k)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
     """Left join to a `right` side with unique keys, safe for skewed `left` keys.
 
-    The HOT_KEYS most frequent keys of `left` (a bounded number of rows) are looked up in `right`,
-    written, and joined by broadcast; all other keys are joined by shuffle. `key` must not be null."""
-    hot = (left.groupBy(key).count().orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key))
+    Keys with more than one row in HOT_KEYS of `left` (fewer than HOT_KEYS keys, whatever the data) are
+    looked up in `right`, written, and joined by broadcast; all other keys are joined by shuffle. `key`
+    must not be null."""
+    least = max(1, left.count() // HOT_KEYS)
+    hot = left.groupBy(key).count().where(F.col("count") > least).select(key)
     hot = materialise(hot.join(right, key, "left"), f"{name}-hot")
     frequent = left.join(F.broadcast(hot), key)
     others = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right, key, "left")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, key_runs, materialise
+from .common import join_hot, key_runs, materialise, smallest_hashes
 from .components import LocalForest, connected_components
 
 NEAREST = 5
@@ -81,7 +81,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def choose_pivots(reps: DataFrame, dim: int, n: int) -> np.ndarray:
     """Unit vectors, apart from each other; filled up with random directions if the sample has too few."""
     wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << ceil(log2(sqrt(max(1, n))))))
-    sample = reps.orderBy(F.xxhash64("vkey"), "vkey").limit(SAMPLE * wanted).select("vec").collect()
+    sample = smallest_hashes(reps, "vkey", SAMPLE * wanted).select("vec").collect()
     spare = np.random.default_rng(0).normal(size=(NEAREST + 1, dim))
     candidates = _unit(np.concatenate([np.array([r.vec for r in sample]).reshape(-1, dim), spare]))
     chosen = np.zeros((wanted, dim))
