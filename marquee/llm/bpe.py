@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw_texts
+from .common import slices
 
 # The White_Space property, as the file's `\s` has it.
 SPACES = "\t-\r \x85\xa0  -     　"
-CACHED = 300_000             # chunks and words a task remembers
+CACHED = 150_000             # chunks and words of a generation that a task remembers
 NONE = np.iinfo(np.int64).max
 
 
@@ -75,7 +75,7 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order
         self.left, self.right, self.made = left, right, made
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACES)
-        self.words = regex.compile(pattern, regex.V0)
+        self.words = regex.compile(pattern + "| ", regex.V0)
         self.cut = re.compile("|".join(re.escape(t) for t in self.special))
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,6 +84,11 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, key), self.keys.size - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
+    def _ranks(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that begins at each place; NONE at the end of a word."""
+        after = np.minimum(at + 1, symbols.size - 1)
+        return np.where((after > at) & (word[at] == word[after]), self.rank(symbols[at], symbols[after]), NONE)
+
     def merge_words(self, words: list[bytes]) -> list[np.ndarray]:
         """Ids of each (not empty) word."""
         sizes = np.array([len(w) for w in words], np.int64)
@@ -93,76 +98,114 @@ class Vocabulary:
         symbols[last] = self.final[raw[last]]
         word = np.repeat(np.arange(len(words)), sizes)
         done: list[np.ndarray | None] = [None] * len(words)
+        ranks = self._ranks(symbols, word, np.arange(symbols.size))
         while symbols.size:
-            pair = word[1:] == word[:-1]
-            ranks = np.where(pair, self.rank(symbols[:-1], symbols[1:]), NONE)
-            starts = np.flatnonzero(np.concatenate(([True], ~pair)))
-            least = np.minimum.reduceat(np.append(ranks, NONE), starts)
-            ends = np.append(starts[1:], symbols.size)
-            ready = least == NONE
-            for k in np.flatnonzero(ready):
-                done[word[starts[k]]] = symbols[starts[k]:ends[k]]
-            lengths = ends - starts
-            live = np.repeat(~ready, lengths)
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            lengths = np.diff(np.append(starts, symbols.size))
+            least = np.minimum.reduceat(ranks, starts)
+            for k in np.flatnonzero(least == NONE):  # nothing left to merge
+                done[word[starts[k]]] = symbols[starts[k]:starts[k] + lengths[k]]
             low = np.repeat(least, lengths)
-            hit = np.append(ranks, NONE) == low
-            hit &= live
-            at = np.flatnonzero(hit)
+            live = low != NONE
+            at = np.flatnonzero(live & (ranks == low))
             if not at.size:
                 break
             run = np.concatenate(([0], np.cumsum(np.diff(at) > 1)))  # neighbours overlap: every other one counts
             run_starts = np.searchsorted(run, np.arange(run[-1] + 1))
             take = (np.arange(at.size) - run_starts[run]) % 2 == 0
             owner = word[at]
-            is_first = np.concatenate(([True], owner[1:] != owner[:-1]))
-            take &= is_first | ~self.one_by_one[low[at]]
+            take &= np.concatenate(([True], owner[1:] != owner[:-1])) | ~self.one_by_one[low[at]]
             at = at[take]
             symbols = symbols.copy()
             symbols[at] = self.made[low[at]]
             live[at + 1] = False
-            symbols, word = symbols[live], word[live]
+            moved = np.cumsum(live)[at] - 1
+            symbols, word, ranks = symbols[live], word[live], ranks[live]
+            changed = np.unique(np.concatenate([moved, np.maximum(moved - 1, 0)]))
+            ranks[changed] = self._ranks(symbols, word, changed)
         return done
 
 
+class Memory(dict):
+    """A dict in two generations: when it holds CACHED entries they become the old ones, and what was old
+    before is forgotten. Entries that are asked for again move to the new generation."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that are not remembered; after this, all others are in the new generation."""
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+        lacking = keys.difference(self)
+        known = lacking.intersection(self.old)
+        self.update((k, self.old[k]) for k in known)
+        return lacking.difference(known)
+
+
 class Encoder:
-    """Encodes texts with the memory of one task."""
+    """Encodes texts with the memory of one task: ids of chunks (text between white space) and of words."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _split(self, chunk: str) -> list[tuple[str | None, bytes]]:
-        """(word, None) or (None, bytes of a special token's id) in order, for text without white space."""
-        v, out, at = self.vocabulary, [], 0
-        for m in v.cut.finditer(chunk) if v.special and "<|" in chunk else ():
-            out += [(w, b"") for w in self._plain(chunk[at:m.start()])]
-            out.append((None, np.int32(v.special[m[0]]).tobytes()))
-            at = m.end()
-        return out + [(w, b"") for w in self._plain(chunk[at:])]
-
-    def _plain(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # sigma has no context here
-        return self.vocabulary.words.findall(text)
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian int32 bytes."""
-        # str.split() also splits at 1C-1F, which are not white space here.
-        split = [t.split() if not re.search("[\x1c-\x1f]", t) else [c for c in regex.split(f"[{SPACES}]+", t) if c]
-                 for t in texts]
-        if len(self.chunks) > CACHED:
-            self.chunks.clear()
-        if len(self.words) > CACHED:
-            self.words.clear()
-        new = {c for chunks in split for c in chunks}.difference(self.chunks)
-        parts = {c: self._split(c) for c in new}
-        todo = list({w for p in parts.values() for w, _ in p if w is not None}.difference(self.words))
+        self.chunks, self.words = Memory(), Memory()
+
+    def _pieces(self, text: str) -> list[str]:
+        """Words of a text, with a space for every space between them."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # sigma has no context here
+        return self.vocabulary.words.findall(text.lower())
+
+    def _learn(self, new: set[str]) -> None:
+        plain = [c for c in new if "<|" not in c]
+        pieces = self._pieces(" ".join(plain))
+        special = {c: self._special(c) for c in new if "<|" in c}
+        words = set(pieces).union(*([w for w, _ in p] for p in special.values())) - {" ", None}
+        todo = list(self.words.missing(words))
         if todo:
             for w, ids in zip(todo, self.vocabulary.merge_words([w.encode() for w in todo])):
                 self.words[w] = ids.tobytes()
-        for c, p in parts.items():
-            self.chunks[c] = b"".join([self.words[w] if w is not None else special for w, special in p])
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+        ids = self.words
+        if len(pieces) == 2 * len(plain) - 1 and " " not in pieces[0::2]:  # one word each
+            self.chunks.update(zip(plain, map(ids.__getitem__, pieces[0::2])))
+        else:
+            cuts = [k for k, w in enumerate(pieces) if w == " "]
+            for c, a, b in zip(plain, [0, *(k + 1 for k in cuts)], [*cuts, len(pieces)]):
+                self.chunks[c] = ids[pieces[a]] if b - a == 1 else b"".join([ids[w] for w in pieces[a:b]])
+        for c, p in special.items():
+            self.chunks[c] = b"".join([i if w is None else ids[w] for w, i in p])
+
+    def _special(self, chunk: str) -> list[tuple[str | None, bytes]]:
+        """(word, b"") or (None, id of a special token) in order."""
+        out, at = [], 0
+        for m in self.vocabulary.cut.finditer(chunk):
+            out += [(w, b"") for w in self._pieces(chunk[at:m.start()])]
+            out.append((None, np.int32(self.vocabulary.special[m[0]]).tobytes()))
+            at = m.end()
+        return out + [(w, b"") for w in self._pieces(chunk[at:])]
+
+    def batch(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text. ASCII white space cuts chunks; other white space inside a chunk belongs to no
+        word of the pattern and cuts words."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        codes = lists.flatten().dictionary_encode()
+        distinct = codes.dictionary.to_pylist()
+        new = self.chunks.missing(set(distinct) - {""})
+        if new:
+            self._learn(new)
+        self.chunks[""] = b""
+        found = list(map(self.chunks.__getitem__, distinct))
+        ids = np.frombuffer(b"".join(found), np.int32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        code = codes.indices.to_numpy()
+        many = sizes[code]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        at = np.repeat(starts[code] - ends[:-1], many) + np.arange(ends[-1])
+        per_text = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return pa.ListArray.from_arrays(pa.array(per_text.astype(np.int32)), pa.array(ids[at]))
 
 
 def _shared(spark: SparkSession, path: str):
@@ -170,18 +213,6 @@ def _shared(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _text_parts(texts: pa.Array, max_bytes: int = 2 << 20):
-    part, size = [], 0
-    for t in raw_texts(texts):
-        part.append(t.decode())
-        size += len(t)
-        if size >= max_bytes:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """`docs` with the token ids of the text as an array of ints."""
     shared = _shared(docs.sparkSession, path)
@@ -191,10 +222,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     def run(texts: pa.Array) -> pa.Array:
         if "encoder" not in memory:
             memory["encoder"] = Encoder(Vocabulary(shared.value))
-        found = [ids for part in _text_parts(texts) for ids in memory["encoder"].batch(part)]
-        sizes = np.array([len(x) // 4 for x in found], np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)),
-                                        pa.array(np.frombuffer(b"".join(found), np.int32)))
+        rows = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [memory["encoder"].batch(part.column(0)) for part in slices(rows, "text")]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(ids_col, run(F.col(text_col)))
 
