@@ -112,9 +112,14 @@ def _movie_credits(cat: Catalog, categories: tuple[str, ...], min_votes: int | N
     return c.join(mr, "title_id")
 
 
+def _known(cat: Catalog, credits_: DataFrame, column: str = "person_id") -> DataFrame:
+    """Credits of people in the catalogue: orphans go before a top-k cut, not after it."""
+    return credits_.join(cat.people.select(F.col("id").alias(column)), column, "left_semi")
+
+
 def director_performance(cat: Catalog, min_votes: int = 100, min_movies: int = 5, k: int = 50) -> DataFrame:
     """A3: directors with enough rated movies: stats, global ranks, career trajectory; top k."""
-    base = _movie_credits(cat, ("director",), min_votes)
+    base = _known(cat, _movie_credits(cat, ("director",), min_votes))
     stats = base.groupBy("person_id").agg(
         F.count(F.lit(1)).alias("total_movies"),
         mean(R()).alias("avg_exact"),
@@ -155,7 +160,7 @@ def actor_best_genre(cat: Catalog, min_votes: int = 100, min_movies: int = 10, k
     Only the k output actors need a best genre, so the (actor x genre) aggregation runs on their
     credits alone (a broadcast semi-join against k ids).
     """
-    base = _movie_credits(cat, ACTING, min_votes)
+    base = _known(cat, _movie_credits(cat, ACTING, min_votes))
     overall = base.groupBy("person_id").agg(
         F.count(F.lit(1)).alias("total_movies"),
         mean(R()).alias("overall_avg"),
@@ -219,8 +224,10 @@ def collaborations(cat: Catalog, min_count: int = 3, k: int = 50, sample: int =
     movie_ids = titles_of_type(cat, "movie", "id")
     d = (credits(cat, ("director",)).join(movie_ids, F.col("title_id") == F.col("id"), "left_semi")
          .select("title_id", F.col("person_id").alias("director_id")))
+    d = _known(cat, d, "director_id")
     a = (credits(cat, ACTING).join(movie_ids, F.col("title_id") == F.col("id"), "left_semi")
          .select("title_id", F.col("person_id").alias("actor_id")))
+    a = _known(cat, a, "actor_id")
     busy = d.groupBy("director_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * len(ACTING) >= min_count)
     d_busy = d.join(busy.select("director_id"), "director_id", "left_semi")
     pairs = (d_busy.join(a, "title_id").where(F.col("director_id") != F.col("actor_id"))
@@ -291,11 +298,13 @@ def success_profile(cat: Catalog, min_votes: int = 1000, tiles: int = 4) -> Data
     m = titles_of_type(cat, "movie", "id", "runtime_minutes")
     r = ratings_at_least(cat, min_votes).select("title_id", "average_rating", "num_votes")
     movies = m.join(r, m["id"] == r["title_id"]).drop("title_id")
-    genre_count = cat.title_genres.groupBy("title_id").agg(F.count_distinct("genre_id").alias("genre_count"))
+    # the bridges are cut to these movies before they are aggregated
+    wanted = movies.select(F.col("id").alias("title_id"))
+    genre_count = cat.title_genres.join(wanted, "title_id", "left_semi").groupBy("title_id").agg(F.count_distinct("genre_id").alias("genre_count"))
     # COUNT(DISTINCT person) for cast and for crew without an Expand: one row per (title, person)
     # with two flags first, then a sum per title (both steps combine map-side).
     acting = F.col("category").isin(*ACTING)
-    per_person = cat.title_people.groupBy("title_id", "person_id").agg(
+    per_person = cat.title_people.join(wanted, "title_id", "left_semi").groupBy("title_id", "person_id").agg(
         F.max(F.when(acting, 1).otherwise(0)).alias("_cast"),
         F.max(F.when(~acting, 1).otherwise(0)).alias("_crew"))
     sizes = per_person.groupBy("title_id").agg(F.sum("_cast").cast("bigint").alias("cast_size"),
@@ -528,9 +537,12 @@ def rating_rollup(cat: Catalog, min_votes: int | None = None) -> DataFrame:
     """
     base = _rated_genre_titles(cat, F.col("title_type") == "movie", min_votes).withColumn(
         "decade", decade("start_year"))
-    g = base.groupingSets([["genre", "decade"], ["genre"], []], "genre", "decade").agg(
+    # sums and counts per cell first (exact decimals), so that only cells are expanded to the three sets
+    cells = base.groupBy("genre", "decade").agg(F.count(F.lit(1)).alias("_n"), F.count(R()).alias("_rated"),
+                                                F.sum(R()).alias("_sum"))
+    g = cells.groupingSets([["genre", "decade"], ["genre"], []], "genre", "decade").agg(
         F.grouping_id("genre", "decade").cast("int").alias("level"),
-        F.count(F.lit(1)).alias("title_count"),
-        round_half_up(mean(R()), 2).alias("avg_rating"),
+        F.sum("_n").alias("title_count"),
+        round_half_up(F.try_divide(F.sum("_sum").cast("double"), F.sum("_rated")), 2).alias("avg_rating"),
     )
     return g.orderBy("level", F.col("genre").asc_nulls_last(), F.col("decade").asc_nulls_last())

@@ -38,21 +38,21 @@ def _rules() -> list[tuple[str, str]]:
 def check_catalog(cat: Catalog) -> DataFrame:
     """One row per rule: (table, rule, violations, sample).
 
-    Few passes whatever the number of rules: one aggregation over the keys of all tables
-    (uniqueness), one scan per table that emits its row-level violations, and one anti-join per
-    referenced table against all columns that reference it; a join onto the rule list reports the
-    clean rules with 0.
+    Few passes whatever the number of rules: one aggregation per unique key, one scan per table that
+    emits its row-level violations, and one anti-join per referenced table against all columns that
+    reference it, whose rows are first combined to one per referenced id (so an id that very many rows
+    refer to is one row in the join); a join onto the rule list reports the clean rules with 0.
     """
     tables = cat.tables()
     spark = cat.titles.sparkSession
-    # uniqueness: (table, rule, key text) of every row, duplicates counted in one aggregation
+    # uniqueness: one aggregation per key, on the key's own columns; text is made for the sample only
     unique_sets = [(t, f"primary key ({', '.join(k)}) unique", k) for t, k in PRIMARY_KEYS.items()]
     unique_sets += [(t, f"({', '.join(c)}) unique", c) for t, c in UNIQUE.items()]
-    keyed = reduce(DataFrame.unionByName, [
-        tables[t].select(F.lit(t).alias("table"), F.lit(rule).alias("rule"), _key_text(cols).alias("key"))
+    duplicated = reduce(DataFrame.unionByName, [
+        tables[t].groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+        .select(F.lit(t).alias("table"), F.lit(rule).alias("rule"), _key_text(cols).alias("key"),
+                F.lit(1).cast("bigint").alias("n"))
         for t, rule, cols in unique_sets])
-    duplicated = (keyed.groupBy("table", "rule", "key").agg(F.count(F.lit(1)).alias("_n"))
-                  .where(F.col("_n") > 1).select("table", "rule", "key"))
     # row-level rules: one scan per table, one output row per violated rule
     violations = []
     for table, key in PRIMARY_KEYS.items():
@@ -61,7 +61,7 @@ def check_catalog(cat: Catalog) -> DataFrame:
                    for (t, col), n in MAX_LENGTH.items() if t == table]
         failed = F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in checks]), lambda r: r.isNotNull())
         violations.append(tables[table].select(F.lit(table).alias("table"), F.explode(failed).alias("rule"),
-                                               _key_text(key).alias("key")))
+                                               _key_text(key).alias("key"), F.lit(1).cast("bigint").alias("n")))
     # foreign keys: all columns referencing one table, checked with one anti-join
     for ref in sorted({r for _, _, r, _ in FOREIGN_KEYS}):
         sources = [tables[t].where(F.col(col).isNotNull()).select(
@@ -70,9 +70,11 @@ def check_catalog(cat: Catalog) -> DataFrame:
             for t, col, r, rc in FOREIGN_KEYS if r == ref]
         ref_col = next(rc for _, _, r, rc in FOREIGN_KEYS if r == ref)
         target = tables[ref].select(F.col(ref_col).cast("string").alias("_ref"))
-        violations.append(reduce(DataFrame.unionByName, sources).join(target, "_ref", "left_anti").drop("_ref"))
+        combined = reduce(DataFrame.unionByName, sources).groupBy("table", "rule", "_ref").agg(
+            F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+        violations.append(combined.join(target, "_ref", "left_anti").drop("_ref"))
     found = reduce(DataFrame.unionByName, [duplicated, *violations]).groupBy("table", "rule").agg(
-        F.count(F.lit(1)).alias("violations"), F.min("key").alias("sample"))
+        F.sum("n").alias("violations"), F.min("key").alias("sample"))
     rules = spark.createDataFrame(_rules(), "table string, rule string")
     return rules.join(found, ["table", "rule"], "left").select(
         "table", "rule", F.coalesce("violations", F.lit(0)).alias("violations"), "sample")

@@ -7,6 +7,8 @@ keeps its best offset+limit rows), and the per-title genre list is built for the
 
 from __future__ import annotations
 
+import re
+
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -132,34 +134,56 @@ def _search_rows(cat: Catalog, title_match: Column, person_match: Column, adult:
     return t.unionByName(p)
 
 
+def like_pattern(term: str) -> str:
+    """LIKE pattern for "contains `term`": wildcards stay live; a backslash takes the character after it
+    literally, whatever it is (only an escaped wildcard or backslash keeps its backslash)."""
+    return "%" + re.sub(r"\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], term + "%", flags=re.S)
+
+
 def search(cat: Catalog, term: str, adult: bool | None = None, limit: int | None = 50) -> DataFrame:
     """Case-blind substring search over titles (primary or original) and people.
 
     `term` keeps its LIKE wildcards (`%`, `_`) as in the source. The adult filter applies to the
     title branch as a whole.
     """
-    pattern = f"%{term}%"
+    pattern = like_pattern(term)
     rows = _search_rows(cat, F.col("primary_title").ilike(pattern) | F.col("original_title").ilike(pattern),
                         F.col("name").ilike(pattern), adult)
     return top_k(rows, _search_order(), limit) if limit is not None else rows
 
 
-def search_many(cat: Catalog, terms: DataFrame, adult: bool | None = None, limit: int = 50,
-                max_terms: int = 100_000) -> DataFrame:
-    """W16 in batch: one ranked result list per term of `terms` (column `term`).
+def _grams(text: Column) -> Column:
+    """Distinct three-character substrings of a text, lower-cased."""
+    low = F.lower(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))),
+                                        lambda i: F.substr(low, i, F.lit(3))))
+
+
+def _matches(rows: DataFrame, texts: list[str], keyed: DataFrame, short: DataFrame) -> DataFrame:
+    """`rows` x terms where one of `texts` contains the term: candidates share the term's token (an
+    equi-join), then the whole pattern is checked."""
+    condition = " OR ".join(f"{c} ILIKE _pat" for c in texts)
+    any_text = F.concat(*[F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in texts])
+    pairs = (rows.withColumn("_gram", F.explode(F.array_distinct(any_text))).join(keyed, "_gram").drop("_gram"))
+    return pairs.where(F.expr(condition)).unionByName(rows.join(short, F.expr(condition)))
+
+
+def search_many(cat: Catalog, terms: DataFrame, adult: bool | None = None, limit: int = 50) -> DataFrame:
+    """W16 in batch: one ranked result list per term of `terms` (column `term`), any number of terms.
 
-    Substring matching has no equi-key, so the terms are broadcast to every task scanning titles and
-    people (a nested-loop join whose cost is linear in the catalogue); the term list is counted first
-    and refused beyond `max_terms`. The top `limit` per term come from a group-limited window.
+    A term with three literal characters in a row joins the titles and people on one such token (their
+    three-character substrings are exploded once), and the full pattern is checked on the candidates.
+    Terms without such a run match too much for a token and are compared with all rows. The top `limit`
+    per term come from a group-limited window.
     """
-    distinct_terms = terms.select("term").where(F.col("term").isNotNull()).distinct()
-    n = distinct_terms.count()
-    if n > max_terms:
-        raise ValueError(f"{n} search terms exceed the broadcast bound of {max_terms}")
-    b = F.broadcast(distinct_terms.select(F.concat(F.lit("%"), "term", F.lit("%")).alias("_pat"), "term"))
-    titles = cat.titles.join(b, F.expr("primary_title ILIKE _pat OR original_title ILIKE _pat"))
-    people = cat.people.join(b, F.expr("name ILIKE _pat"))
-    cat2 = cat.replace(titles=titles, people=people)
+    # any backslash pair or wildcard ends a literal run; the first run of three or more gives the token
+    escaped = F.regexp_replace(F.concat("term", F.lit("%")), r"(?s)(?<!\\)((?:\\\\)*)\\([^%_\\])", "$1$2")
+    run = F.regexp_extract(F.lower(F.regexp_replace("term", r"(?s)\\.", "%")), r"([^%_\\]{3,})", 1)
+    distinct = (terms.select("term").where(F.col("term").isNotNull()).distinct()
+                .select("term", F.concat(F.lit("%"), escaped).alias("_pat"), F.substring(run, 1, 3).alias("_gram")))
+    keyed, short = distinct.where("_gram <> ''"), distinct.where("_gram = ''").drop("_gram")
+    cat2 = cat.replace(titles=_matches(cat.titles, ["primary_title", "original_title"], keyed, short),
+                       people=_matches(cat.people, ["name"], keyed, short))
     rows = _search_rows(cat2, F.lit(True), F.lit(True), adult, extra=["term"])
     return top_k_per_key(rows, ["term"], _search_order(), limit, name="rank")
 

@@ -58,6 +58,7 @@ LISTINGS = {
     "featured_series": (L.featured_series, {}, lambda **kw: oracle.featured_sql("tvSeries", 500)),
     "search": (L.search, dict(term="title 99"), oracle.search_sql),
     "search_people": (L.search, dict(term="RSON 12"), oracle.search_sql),
+    "search_backslash": (L.search, dict(term="tit\\le 12"), oracle.search_sql),
     "search_wildcard": (L.search, dict(term="1_3", adult=False), oracle.search_sql),
 }
 
@@ -155,10 +156,18 @@ def _run(job: Callable[..., DataFrame], kwargs: dict, spark: SparkSession, sf_di
     return plain_types(job(catalog_snapshot(spark, sf_dir), **kwargs))
 
 
+def search_many_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W16 in batch: the first eight characters of every title are the terms."""
+    cat = catalog_snapshot(spark, sf_dir)
+    terms = cat.titles.select(F.substring("primary_title", 1, 8).alias("term")).distinct()
+    return plain_types(L.search_many(cat, terms))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: partial(_run, job, kwargs) for name, (job, kwargs) in JOBS.items()}
     out["check_catalog"] = partial(_run, C.check_catalog, {})
     out["import_catalog"] = import_roundtrip
+    out["search_many"] = search_many_titles
     return out
 
 
@@ -166,5 +175,6 @@ def oracle_sql() -> dict[str, str]:
     statements = {**oracle.ANALYSIS, **oracle.PAGES}
     statements.update({name: build(**params) for name, (_, params, build) in LISTINGS.items()})
     statements["check_catalog"] = oracle.check_catalog_sql()
+    statements["search_many"] = oracle.search_many_sql()
     statements["import_catalog"] = oracle.catalog_rows_sql()
     return {name: statements[name] for name in queries() if name in statements}

@@ -6,8 +6,8 @@ only reads it. Local runs (tests, bench) get a fresh folder under the system tem
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark import InheritableThread
@@ -62,8 +62,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def new_scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared scratch folder (never reused between runs)."""
     base = scratch_dir(spark)
-    suffix = next(tempfile._get_candidate_names())  # noqa: SLF001 - short random token
-    return f"{base}/{name}-{os.getpid()}-{suffix}"
+    return f"{base}/{name}-{uuid.uuid4().hex[:16]}"
 
 
 def run_concurrently(*jobs: Callable[[], object]) -> list[object]:

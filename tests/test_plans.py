@@ -39,12 +39,28 @@ def test_typed_title_scans_prune_partitions(spark, name):
                for s in scans), scans
 
 
-def test_search_many_refuses_unbounded_term_lists(spark):
-    from marquee.plans.listings import search_many
+def test_search_many_equals_search_for_any_term(spark):
+    from marquee.plans.listings import search, search_many
     from marquee.registry import catalog_snapshot
-    terms = spark.createDataFrame([("a",), ("b",)], "term string")
-    with pytest.raises(ValueError, match="exceed the broadcast bound"):
-        search_many(catalog_snapshot(spark, SF_SMALL), terms, max_terms=1)
+    cat = catalog_snapshot(spark, SF_SMALL)
+    words = ["title 1", "T%1_", "a\\ctor 1", "12", "\\%", "per\\son\\ 1", "%%%", "\\"]
+    batch = search_many(cat, spark.createDataFrame([(w,) for w in words * 2], "term string"), limit=4).collect()
+    for w in words:
+        one = [r.id for r in search(cat, w, limit=4).collect()]
+        assert [r.id for r in sorted((r for r in batch if r.term == w), key=lambda r: r.rank)] == one, w
+
+
+def test_check_catalog_uses_the_real_keys(spark):
+    from pyspark.sql import functions as F
+    from marquee.plans.checks import check_catalog
+    from marquee.registry import catalog_snapshot
+    cat = catalog_snapshot(spark, SF_SMALL)
+    row = cat.title_people.limit(1)
+    glued = [row.withColumns({"title_id": F.lit(a), "person_id": F.lit(b)}) for a, b in (("x|y", "z"), ("x", "y|z"))]
+    people = cat.title_people.unionByName(glued[0]).unionByName(glued[1])
+    report = {r.rule: r for r in check_catalog(cat.replace(title_people=people)).where("table = 'title_people'").collect()}
+    assert next(r for k, r in report.items() if k.startswith("primary key")).violations == 0
+    assert sum(r.violations for k, r in report.items() if "references" in k) == 4
 
 
 @pytest.mark.parametrize("name", ["movie_summary", "movie_top_cast", "series_top_cast", "episode_cast"])
