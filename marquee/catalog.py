@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
@@ -140,17 +141,45 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One table of a snapshot (declared schema, no inference)."""
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+    return df.select([(_from_folder(F.col(f.name)) if f.name in PARTITION_COLUMNS.get(name, ()) else F.col(f.name))
+                      .alias(f.name) for f in SCHEMAS[name].fields])
+
+
+def mark_complete(spark: SparkSession, path: str) -> None:
+    """Write the mark of a complete snapshot, after its tables."""
+    spark.range(1).select(F.lit(len(SCHEMAS)).alias("tables")).write.parquet(f"{path}/{COMPLETE}")
+
+
 def read_catalog(spark: SparkSession, path: str) -> Catalog:
-    """Load a Parquet snapshot written by `write_catalog` (declared schemas, no inference)."""
-    return Catalog(**{
-        name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in SCHEMAS.items()
-    })
+    """Load a Parquet snapshot written by `write_catalog` or the import. One without the mark of a
+    complete snapshot (a write that failed or still runs) is refused: Spark does not find the path."""
+    spark.read.schema("tables int").parquet(f"{path}/{COMPLETE}")
+    return Catalog(**{name: read_table(spark, path, name) for name in SCHEMAS})
+
 
+COMPLETE = "complete"  # written last into a snapshot
 
 # Partition columns of the snapshot layout: `titles` by type and credits by category (both a handful
 # of values), so the type and role filters of the jobs prune whole folders of the largest tables.
 PARTITION_COLUMNS = {"titles": ["title_type"], "title_people": ["category"]}
 
+# A partition folder cannot stand for '' (it comes back as NULL), nor for Hive's name of NULL: such
+# values get a mark in front, and so do values that begin with the mark. All others name their folder.
+FOLDER_MARK, HIVE_NULL = "~", "__HIVE_DEFAULT_PARTITION__"
+
+
+def _to_folder(value: Column) -> Column:
+    marked = value.isin("", HIVE_NULL) | value.startswith(FOLDER_MARK)
+    return F.when(marked, F.concat(F.lit(FOLDER_MARK), value)).otherwise(value)
+
+
+def _from_folder(value: Column) -> Column:
+    # reads the partition column alone, so filters on the result still prune folders
+    return F.when(value.startswith(FOLDER_MARK), F.substring(value, 2, 1 << 30)).otherwise(value)
+
 # Sort order inside each written file: ratings by votes, so the vote floors of the jobs
 # (>= 500 / 1000 / 10000) skip row groups through Parquet min/max statistics.
 SORT_COLUMNS = {"ratings": ["num_votes"]}
@@ -161,10 +190,9 @@ def table_writer(df: DataFrame, name: str, mode: str = "errorifexists"):
     out = conform(df, SCHEMAS[name])
     if name in SORT_COLUMNS:
         out = out.sortWithinPartitions(*SORT_COLUMNS[name])
-    writer = out.write.mode(mode)
-    if name in PARTITION_COLUMNS:
-        writer = writer.partitionBy(*PARTITION_COLUMNS[name])
-    return writer
+    columns = PARTITION_COLUMNS.get(name, [])
+    writer = out.withColumns({c: _to_folder(F.col(c)) for c in columns}).write.mode(mode)
+    return writer.partitionBy(*columns) if columns else writer
 
 
 def write_catalog(catalog: Catalog, path: str, mode: str = "errorifexists") -> None:
@@ -175,3 +203,4 @@ def write_catalog(catalog: Catalog, path: str, mode: str = "errorifexists") -> N
         return lambda: table_writer(df, name, mode).parquet(f"{path}/{name}")
 
     run_concurrently(*[write(name, df) for name, df in catalog.tables().items()])
+    mark_complete(catalog.titles.sparkSession, path)

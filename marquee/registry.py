@@ -156,13 +156,16 @@ def _run(job: Callable[..., DataFrame], kwargs: dict, spark: SparkSession, sf_di
     return plain_types(job(catalog_snapshot(spark, sf_dir), **kwargs))
 
 
-def search_many_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def search_many_prefixes(cat: Catalog) -> DataFrame:
     """W16 in batch: the first eight characters of every title are the terms."""
-    cat = catalog_snapshot(spark, sf_dir)
     terms = cat.titles.select(F.substring("primary_title", 1, 8).alias("term")).distinct()
     return plain_types(L.search_many(cat, terms))
 
 
+def search_many_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_many_prefixes(catalog_snapshot(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: partial(_run, job, kwargs) for name, (job, kwargs) in JOBS.items()}
     out["check_catalog"] = partial(_run, C.check_catalog, {})

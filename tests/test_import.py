@@ -8,9 +8,9 @@ from decimal import Decimal
 
 import pytest
 
-from marquee.catalog import read_catalog
+from marquee.catalog import read_catalog, table_writer
 from marquee.plans.checks import check_catalog
-from marquee.plans.imports import import_catalog
+from marquee.plans.imports import import_catalog, import_titles
 from marquee.sources import tsv
 
 N = "\\N"
@@ -163,6 +163,59 @@ def test_bad_values_fail_without_ansi_too(spark, scratch):
         spark.conf.set("spark.sql.ansi.enabled", previous)
 
 
+def test_blank_line_fails_and_a_line_of_tabs_is_a_row(spark, scratch):
+    raw = os.path.join(scratch, "tabs")
+    write_all(raw)
+    write(raw, tsv.TITLE_CREW, CREW + [["", "", ""]])
+    assert ("", "", "") in rows(tsv.read_dump(spark, raw, tsv.TITLE_CREW).fillna("-"), "tconst", "directors", "writers")
+    bad = os.path.join(scratch, "blank")
+    write_all(bad)
+    write(bad, tsv.TITLE_CREW, CREW + [[""]] + CREW)
+    with pytest.raises(Exception, match="expected 3 fields"):
+        import_catalog(spark, bad, os.path.join(scratch, "out"))
+
+
+def test_any_category_survives_the_snapshot(spark, scratch):
+    raw = os.path.join(scratch, "raw")
+    write_all(raw)
+    names = ["", "~", "~x", "__HIVE_DEFAULT_PARTITION__", "a/b=c"]
+    write(raw, tsv.TITLE_PRINCIPALS, PRINCIPALS + [["tt2", "1", "nm1", c, N, N] for c in names])
+    cat = import_catalog(spark, raw, os.path.join(scratch, "out"))
+    assert sorted(r.category for r in cat.title_people.where("title_id = 'tt2'").collect()) == sorted(names)
+    again = import_catalog(spark, raw, os.path.join(scratch, "again"), previous=cat)
+    assert sorted(again.title_people.collect()) == sorted(cat.title_people.collect())
+
+
+@pytest.mark.parametrize("open_cost", ["1", "4m", "1g"])
+def test_first_row_wins_whatever_the_file_packing(spark, scratch, open_cost):
+    raw = os.path.join(scratch, "raw")
+    write_all(raw)
+    folder = os.path.join(scratch, "raw2")
+    write_all(folder, basics=[])
+    os.makedirs(os.path.join(folder, "parts"))
+    # Spark reads the larger file first when it packs both into one task
+    write(os.path.join(folder, "parts"), tsv.TITLE_BASICS, BASICS)
+    parts = tsv.DumpSpec("parts/*.gz", tsv.TITLE_BASICS.header, tsv.TITLE_BASICS.columns, tsv.TITLE_BASICS.types)
+    late = [["tt1", "movie", f"Late {i * 7919}", N, "0", "1999", N, "1", N] for i in range(500)]
+    write(os.path.join(folder, "parts"), tsv.DumpSpec("z.gz", parts.header, parts.columns, parts.types), late)
+    previous = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+    try:
+        titles = import_titles(tsv.read_dump(spark, folder, parts, 8)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", previous)
+    assert {t.id: t.primary_title for t in titles}["tt1"] == 'He said "hi'
+
+
+def test_incomplete_snapshot_is_refused(spark, imported):
+    cat, scratch = imported
+    path = os.path.join(scratch, "half")
+    for name, df in cat.tables().items():
+        table_writer(df, name).parquet(f"{path}/{name}")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        read_catalog(spark, path)
+
+
 def test_null_primary_title_is_refused(spark, scratch):
     raw = os.path.join(scratch, "bad")
     write_all(raw, basics=BASICS + [["tt9", "movie", N, N, "0", "1999", N, N, N]])
