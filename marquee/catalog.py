@@ -144,13 +144,13 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One table of a snapshot (declared schema, no inference)."""
     df = spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
-    return df.select([(_from_folder(F.col(f.name)) if f.name in PARTITION_COLUMNS.get(name, ()) else F.col(f.name))
+    return df.select([(_from_folder(F.col(f.name)) if f.name in FREE_FOLDERS.get(name, ()) else F.col(f.name))
                       .alias(f.name) for f in SCHEMAS[name].fields])
 
 
 def mark_complete(spark: SparkSession, path: str) -> None:
     """Write the mark of a complete snapshot, after its tables."""
-    spark.range(1).select(F.lit(len(SCHEMAS)).alias("tables")).write.parquet(f"{path}/{COMPLETE}")
+    spark.range(1).select(F.lit(len(SCHEMAS)).alias("tables")).write.mode("overwrite").parquet(f"{path}/{COMPLETE}")
 
 
 def read_catalog(spark: SparkSession, path: str) -> Catalog:
@@ -168,6 +168,8 @@ PARTITION_COLUMNS = {"titles": ["title_type"], "title_people": ["category"]}
 
 # A partition folder cannot stand for '' (it comes back as NULL), nor for Hive's name of NULL: such
 # values get a mark in front, and so do values that begin with the mark. All others name their folder.
+# Only categories are free text; title types are fixed.
+FREE_FOLDERS = {"title_people": ["category"]}
 FOLDER_MARK, HIVE_NULL = "~", "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -191,7 +193,8 @@ def table_writer(df: DataFrame, name: str, mode: str = "errorifexists"):
     if name in SORT_COLUMNS:
         out = out.sortWithinPartitions(*SORT_COLUMNS[name])
     columns = PARTITION_COLUMNS.get(name, [])
-    writer = out.withColumns({c: _to_folder(F.col(c)) for c in columns}).write.mode(mode)
+    writer = out.select([(_to_folder(F.col(c)) if c in FREE_FOLDERS.get(name, ()) else F.col(c)).alias(c)
+                         for c in out.columns]).write.mode(mode)
     return writer.partitionBy(*columns) if columns else writer
 
 
