@@ -165,3 +165,18 @@ def test_empty_tables(spark, docs):
 
 def test_digests_are_what_the_contract_says(spark):
     assert spark.range(1).select(F.sha2(F.lit("é"), 256).alias("h")).first().h == hashlib.sha256("é".encode()).hexdigest()
+
+
+def test_brown_classes_words_beyond_the_local_table(spark):
+    half = 66_000  # words of one text each, more than the table of frequent words holds; a few are frequent
+    rows = [(i, " ".join(f"the n{k:06d} runs . we v{k:06d} it . the n{k % 20}x runs . we v{k % 20}x it ."
+                         for k in range(i * 100, i * 100 + 100))) for i in range(half // 100)]
+    frame = spark.createDataFrame(rows, "id long, body string").withColumn("held_out", F.lit(False)).repartition(8)
+    model, lexicon = brown.fit(frame)
+    kinds = lexicon.groupBy(F.substring("word", 1, 1).alias("kind")).agg(
+        F.collect_set("c").alias("c"), F.count("c").alias("n")).collect()
+    of = {r.kind: set(r.c) for r in kinds}
+    assert sum(r.n for r in kinds) == 2 * half + 45 - len(model.words) > 100_000
+    assert not of["n"] & of["v"] and len(of["n"]) == len(of["v"]) == 1
+    got = brown.score(frame, model, lexicon).collect()
+    assert all(r.n_known == r.n_tokens and math.isfinite(r.score) for r in got)
