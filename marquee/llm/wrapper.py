@@ -15,8 +15,8 @@ becomes one space, blocks are joined by one space in page order.
 
 Edge cases: a null or empty page has an empty text; markup that isn't closed or doesn't nest is read as
 browsers do in the main (a new block closes an open paragraph, unmatched end tags are skipped); elements
-nested deeper than `DEPTH` are hung there; child lists too long for the matching table are matched from
-both ends; pages without a host form one group; repeated rows get equal texts; an empty table gives no
+nested deeper than `DEPTH` are hung there; child lists too long for the matching table are matched
+row by row (Hirschberg) after equal ends are paired; a reference page may have any length; pages without a host form one group; repeated rows get equal texts; an empty table gives no
 rows; input columns named like an output column are replaced.
 """
 
@@ -38,8 +38,9 @@ from .urls import host_of
 MIN_PAGES = 5
 CONSTANT = 0.9
 DEPTH = 150
-MAX_REFERENCE = 64_000       # characters of a page that may become a reference
-MAX_CELLS = 1 << 20          # of one matching table
+MAX_REFERENCE = 64_000       # characters of a reference that may be broadcast; longer ones are joined by a shuffle
+SALTS = 64                   # parts that the pages of a host with a longer one are dealt to
+MAX_CELLS = 1 << 20          # of a matching table that is kept whole
 REMEMBERED = 500_000         # weights of subtree pairs a task remembers
 
 # Fixed values of HTML: element kinds.
@@ -231,7 +232,11 @@ class Forest:
             found = 0
             if la == lb:
                 row = [0] * (len(kb) + 1)
-                if len(ka) * len(kb) <= MAX_CELLS:
+                if len(ka) * len(kb) > MAX_CELLS:
+                    head, tail = _equal_ends(ka, kb)
+                    inner = self._last_row(ka[head:len(ka) - tail], kb[head:len(kb) - tail])
+                    row = [int(inner[-1]) + sum(self.sizes[k] for k in ka[:head] + ka[len(ka) - tail:])]
+                else:
                     for x in ka:
                         up, left, new = row, 0, [0]
                         for j, y in enumerate(kb):
@@ -261,9 +266,9 @@ class Forest:
         if not m or not n:
             return []
         if m * n > MAX_CELLS:
-            half = min(m, n) // 2
-            pairs = [*zip(xs[:half], ys[:half]), *zip(xs[m - half:], ys[n - half:])]
-            return [(a, b) for a, b in pairs if isinstance(a, Text) == isinstance(b, Text)]
+            head, tail = _equal_ends([(type(x), x.hash) for x in xs], [(type(y), y.hash) for y in ys])
+            return [*zip(xs[:head], ys[:head]), *self._split(xs[head:m - tail], ys[head:n - tail]),
+                    *zip(xs[m - tail:], ys[n - tail:])]
         xs_shape = [0 if isinstance(x, Text) else x.shape for x in xs]
         ys_shape = [0 if isinstance(y, Text) else y.shape for y in ys]
         ys_hash = [y.hash for y in ys]
@@ -290,6 +295,51 @@ class Forest:
         return pairs
 
 
+    def _split(self, xs: list, ys: list) -> list[tuple]:
+        """Hirschberg: the pairs of the best matching, in memory for two rows of the table."""
+        if len(xs) * len(ys) <= MAX_CELLS:
+            return self._match(xs, ys)
+        if len(xs) == 1:
+            gains = [int(self._last_row([_shape(xs[0])], [_shape(y)], [xs[0]], [y])[-1]) for y in ys]
+            best = int(np.argmax(gains))
+            return [(xs[0], ys[best])] if gains[best] else []
+        half = len(xs) // 2
+        top = self._last_row([*map(_shape, xs[:half])], [*map(_shape, ys)], xs[:half], ys)
+        low, back = xs[half:][::-1], ys[::-1]
+        bottom = self._last_row([*map(_shape, low)], [*map(_shape, back)], low, back)
+        cut = int(np.argmax(top + bottom[::-1]))
+        return self._split(xs[:half], ys[:cut]) + self._split(xs[half:], ys[cut:])
+
+    def _last_row(self, ka, kb, xs: list = (), ys: list = ()) -> np.ndarray:
+        """Last row of the matching table of two lists of shapes; with the nodes, equal ones count extra."""
+        distinct, where = np.unique(np.array(kb, np.int64), return_inverse=True)
+        hashes = np.array([y.hash for y in ys], np.int64)
+        row, weights = np.zeros(len(kb) + 1, np.int64), {}
+        for i, a in enumerate(ka):
+            if a not in weights:
+                if len(weights) * distinct.size > MAX_CELLS:
+                    weights.clear()
+                weights[a] = np.array([self.weight(a, b) for b in distinct.tolist()], np.int64)
+            w = weights[a][where]
+            if len(xs):
+                w = w + (1 if isinstance(xs[i], Text) else xs[i].texts) * ((w > 0) & (hashes == xs[i].hash))
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))
+        return row
+
+
+def _shape(node) -> int:
+    return 0 if isinstance(node, Text) else node.shape
+
+
+def _equal_ends(xs, ys) -> tuple[int, int]:
+    """Lengths of the equal head and tail of two lists. Equal nodes weigh the most a node can, so pairing
+    them loses nothing."""
+    short = min(len(xs), len(ys))
+    head = next((k for k in range(short) if xs[k] != ys[k]), short)
+    tail = next((k for k in range(short - head) if xs[-1 - k] != ys[-1 - k]), short - head)
+    return head, tail
+
+
 def text_nodes(root: Element) -> list[Text]:
     out, stack = [], [root]
     while stack:
@@ -408,7 +458,7 @@ def host_references(pages: DataFrame, min_pages: int) -> DataFrame:
               .agg(F.percentile_approx("size", 0.5, 100).alias("middle"), F.count(F.lit(1)).alias("n"))
               .where(F.col("n") >= min_pages))
     near = join_hot(sized, materialise(middle, "host-middle"), "host", "host-size").where(
-        F.col("middle").isNotNull() & (F.col("size") <= MAX_REFERENCE))
+        F.col("middle").isNotNull() & (F.col("size") > 0))
     chosen = near.groupBy("host").agg(F.min(F.struct(F.abs(F.col("size") - F.col("middle")).alias("d"),
                                                      "hash")).alias("best"))
     chosen = materialise(chosen.select(F.col("host").alias("_host"), F.col("best.hash").alias("_hash")), "host-chosen")
@@ -416,6 +466,22 @@ def host_references(pages: DataFrame, min_pages: int) -> DataFrame:
     return found.groupBy("host").agg(F.min("page").alias("reference"))
 
 
+def join_reference(pages: DataFrame, templates: DataFrame, host: str, reference: str, name: str) -> DataFrame:
+    """Left join of pages to their host's row; long references travel by shuffle to `SALTS` parts of the pages."""
+    long = F.length(reference) > MAX_REFERENCE
+    rest = [c for c in templates.columns if c not in (host, reference)]
+    if templates.where(long).isEmpty():
+        return join_hot(pages, templates, host, name)
+    brief = templates.select(host, *rest, F.when(~long, F.col(reference)).alias(reference), long.alias("_llm_long"))
+    both = join_hot(pages, brief, host, name)
+    near = both.where("not coalesce(_llm_long, false)").drop("_llm_long")
+    salt = F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int")
+    far = both.where("_llm_long").drop("_llm_long", reference).withColumn("_llm_salt", salt)
+    copies = templates.where(long).select(host, reference, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_llm_salt"))
+    far = far.join(copies.hint("shuffle_hash"), [host, "_llm_salt"]).drop("_llm_salt")
+    return near.unionByName(far)
+
+
 def host_templates(pages: DataFrame, min_pages: int, constant: float) -> DataFrame:
     """(host, reference, template): template holds the numbers of the reference's constant text nodes."""
     references = materialise(host_references(pages, min_pages), "host-references")
@@ -433,7 +499,7 @@ def host_templates(pages: DataFrame, min_pages: int, constant: float) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(content, pa.binary()),
                                                   pa.array(same, pa.list_(pa.int32()))], ["host", "content", "same"])
 
-    joined = join_hot(pages, references, "host", "host-compare").where("reference is not null")
+    joined = join_reference(pages, references, "host", "reference", "host-compare").where("reference is not null")
     seen = materialise(joined.mapInArrow(compare, "host string, content binary, same array<int>")
                        .dropDuplicates(["host", "content"]), "host-nodes")
     pages_of = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
@@ -464,6 +530,6 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_
         return pa.array(out, pa.string())
 
     hosted = pages.withColumn("_llm_host", host_of(F.col(url_col)))
-    joined = join_hot(hosted, templates, "_llm_host", "host-extract")
+    joined = join_reference(hosted, templates, "_llm_host", "_llm_reference", "host-extract")
     rest = [c for c in pages.columns if c != "text"]
     return joined.select(*rest, run(F.col(html_col), F.col("_llm_reference"), F.col("_llm_template")).alias("text"))

@@ -180,3 +180,13 @@ def test_brown_classes_words_beyond_the_local_table(spark):
     assert not of["n"] & of["v"] and len(of["n"]) == len(of["v"]) == 1
     got = brown.score(frame, model, lexicon).collect()
     assert all(r.n_known == r.n_tokens and math.isfinite(r.score) for r in got)
+
+
+def test_long_pages_have_a_reference_too(spark):
+    page = "<body><div><p>{0}</p></div><div><p>Imprint of the house</p></div></body>"
+    words = lambda i: " ".join(f"w{i}" for _ in range(25_000))
+    rows = [(i, f"http://long.io/{i}", page.format(words(i))) for i in range(10, 18)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert len(rows[0][2]) > wrapper.MAX_REFERENCE
+    got = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
+    assert got == {i: words(i) for i in range(10, 18)}

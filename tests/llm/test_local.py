@@ -165,3 +165,24 @@ def test_simple_tree_matching_finds_the_constant_nodes():
     assert sorted(reader.constant(root, reference)) == [2, 3]
     assert wrapper.main_text("<body><div><p>new</p><p>Please subscribe</p></div><p>Imprint</p></body>", reference,
                              [2, 3]) == "new"
+
+
+def test_long_child_lists_are_matched_for_the_greatest_total(monkeypatch):
+    some = np.random.default_rng(3)
+    lists = [["<p>" + "<b>x</b>" * int(k % 3) + f"t{k}</p>" for k in some.integers(0, 9, n)] for n in (40, 37, 1, 60)]
+    lists[1][20:30] = lists[0][18:28]
+
+    def total(a, b):
+        forest = wrapper.Forest()
+        x, y = (wrapper.parse("<div>" + "".join(p) + "</div>") for p in (a, b))
+        for root in (x, y):
+            forest.prune(root)
+        pairs = forest._match(x.kids[0].kids, y.kids[0].kids)
+        gain = sum(forest.weight(p.shape, q.shape) + (p.texts if p.hash == q.hash else 0) for p, q in pairs)
+        return gain, forest.weight(x.shape, y.shape)
+
+    cases = [(a, b) for a in lists for b in lists]
+    wanted = [total(a, b) for a, b in cases]
+    for cells in (8, 100):
+        monkeypatch.setattr(wrapper, "MAX_CELLS", cells)
+        assert [total(a, b) for a, b in cases] == wanted
