@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, brown, lines, packing, pivots, quality, simhash, substring, urls, wrapper
+from . import bestfit, bpe, brown, lines, packing, periods, pivots, quality, simhash, substring, urls, wrapper
 from .common import table
 
 
@@ -62,6 +62,23 @@ def op10_url_models(spark, sf_dir):
         "page_id", "host", "path", "rule", "verdict", "url_score")
 
 
+def op12_periodic_runs(spark, sf_dir):
+    docs = periods.with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = periods.longest_run(F.col("runs"))
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (periods.periodic_runs(docs).withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(each, ""), 256).alias("runs_sha256"),
+                    F.sha2("collapsed_text", 256).alias("collapsed_sha256")))
+
+
+def op13_best_fit(spark, sf_dir):
+    import public_tokenizers
+
+    return bestfit.best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_length_buckets": op1_length_buckets,
     "op2_pivot_permutations": op2_pivot_permutations,
@@ -73,6 +90,8 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_trie": op7_simhash_trie,
     "op9_line_bloom": op9_line_bloom,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_best_fit": op13_best_fit,
 }
 
 ORACLE_SQL = {
