@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bestfit, bpe, brown, lines, packing, periods, pivots, quality, simhash, substring, urls, wrapper
+from . import bestfit, bpe, brown, collocations, lines, packing, periods, pivots, quality, simhash, substring, urls, wrapper
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_url_models(spark, sf_dir):
         "page_id", "host", "path", "rule", "verdict", "url_score")
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark, sf_dir):
     docs = periods.with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
     best = periods.longest_run(F.col("runs"))
@@ -90,6 +94,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash_trie": op7_simhash_trie,
     "op9_line_bloom": op9_line_bloom,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_best_fit": op13_best_fit,
 }
@@ -139,4 +144,34 @@ SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (r.keeper <> k.doc_id) AS
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (r.keeper IS NULL OR r.keeper = k.doc_id), ''))
          AS kept_sha256
 FROM k LEFT JOIN r USING (key) GROUP BY k.doc_id""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), (VALUES (1), (2), (3)) s(size)
+      WHERE i + size - 1 <= len(ws)),
+f AS MATERIALIZED (SELECT lang, size, phrase, lang || chr(9) || phrase AS key, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cut AS MATERIALIZED (
+  SELECT lang, size, phrase, f AS a, cut,
+         lang || chr(9) || array_to_string(string_split(phrase, ' ')[:cut], ' ') AS head,
+         lang || chr(9) || array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS tail
+  FROM f, (VALUES (1), (2)) c(cut) WHERE f >= 10 AND size > cut),
+s AS MATERIALIZED (
+  SELECT cut.lang, cut.size, cut.phrase, a, x.f AS l, y.f AS r,
+         ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.key = head JOIN f y ON y.key = tail
+  QUALIFY row_number() OVER (PARTITION BY cut.lang, cut.phrase ORDER BY score, cut) = 1),
+longer AS (SELECT lang, part, max(a) AS a FROM (
+             SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[:2], ' '),
+                                     array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS part
+             FROM s WHERE size = 3) GROUP BY lang, part)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, s.a DESC, phrase) AS rank, phrase, s.a, l, r,
+       n, score
+FROM s JOIN n USING (lang) LEFT JOIN longer ON longer.lang = s.lang AND part = phrase AND size = 2
+WHERE longer.a IS NULL OR 100 * longer.a < 50 * s.a
+QUALIFY rank <= 2000""",
 }
