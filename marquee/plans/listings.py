@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.columns import string_list
+from ..operators.grams import GramIndex
 from ..operators.topk import top_k, top_k_per_key, top_k_table
 from .common import genre_names, season_episode_counts, titles_of_type
 
 R = "average_rating"
+TITLE_TEXTS = ["primary_title", "original_title"]
+PERSON_TEXTS = ["name"]
 
 
 def _sort_keys(sort: str | None) -> list[Column]:
@@ -152,38 +155,23 @@ def search(cat: Catalog, term: str, adult: bool | None = None, limit: int | None
     return top_k(rows, _search_order(), limit) if limit is not None else rows
 
 
-def _grams(text: Column) -> Column:
-    """Distinct three-character substrings of a text, lower-cased."""
-    low = F.lower(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))),
-                                        lambda i: F.substr(low, i, F.lit(3))))
-
-
-def _matches(rows: DataFrame, texts: list[str], keyed: DataFrame, short: DataFrame) -> DataFrame:
-    """`rows` x terms where one of `texts` contains the term: candidates share the term's token (an
-    equi-join), then the whole pattern is checked."""
-    condition = " OR ".join(f"{c} ILIKE _pat" for c in texts)
-    any_text = F.concat(*[F.coalesce(_grams(F.col(c)), F.array().cast("array<string>")) for c in texts])
-    pairs = (rows.withColumn("_gram", F.explode(F.array_distinct(any_text))).join(keyed, "_gram").drop("_gram"))
-    return pairs.where(F.expr(condition)).unionByName(rows.join(short, F.expr(condition)))
+def search_index(cat: Catalog, terms: DataFrame) -> GramIndex:
+    """The gram index of the search terms (column `term`) over titles and people."""
+    # as in like_pattern(): only an escaped wildcard or backslash keeps its backslash
+    escaped = F.regexp_replace(F.concat("term", F.lit("%")), r"(?s)(?<!\\)((?:\\\\)*)\\([^%_\\])", "$1$2")
+    patterns = (terms.select("term").where(F.col("term").isNotNull()).distinct()
+                .withColumn("pattern", F.concat(F.lit("%"), escaped)))
+    return GramIndex(patterns, [(cat.titles, TITLE_TEXTS), (cat.people, PERSON_TEXTS)])
 
 
 def search_many(cat: Catalog, terms: DataFrame, adult: bool | None = None, limit: int = 50) -> DataFrame:
     """W16 in batch: one ranked result list per term of `terms` (column `term`), any number of terms.
 
-    A term with three literal characters in a row joins the titles and people on one such token (their
-    three-character substrings are exploded once), and the full pattern is checked on the candidates.
-    Terms without such a run match too much for a token and are compared with all rows. The top `limit`
-    per term come from a group-limited window.
+    Every term joins the titles and people on its rarest gram (see `operators.grams`), and the full pattern
+    is checked on those candidates. The top `limit` per term come from a group-limited window.
     """
-    # any backslash pair or wildcard ends a literal run; the first run of three or more gives the token
-    escaped = F.regexp_replace(F.concat("term", F.lit("%")), r"(?s)(?<!\\)((?:\\\\)*)\\([^%_\\])", "$1$2")
-    run = F.regexp_extract(F.lower(F.regexp_replace("term", r"(?s)\\.", "%")), r"([^%_\\]{3,})", 1)
-    distinct = (terms.select("term").where(F.col("term").isNotNull()).distinct()
-                .select("term", F.concat(F.lit("%"), escaped).alias("_pat"), F.substring(run, 1, 3).alias("_gram")))
-    keyed, short = distinct.where("_gram <> ''"), distinct.where("_gram = ''").drop("_gram")
-    cat2 = cat.replace(titles=_matches(cat.titles, ["primary_title", "original_title"], keyed, short),
-                       people=_matches(cat.people, ["name"], keyed, short))
+    index = search_index(cat, terms)
+    cat2 = cat.replace(titles=index.matches(cat.titles, TITLE_TEXTS), people=index.matches(cat.people, PERSON_TEXTS))
     rows = _search_rows(cat2, F.lit(True), F.lit(True), adult, extra=["term"])
     return top_k_per_key(rows, ["term"], _search_order(), limit, name="rank")
 

@@ -7,10 +7,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
+from marquee import registry
 
-QUERIES = entry.queries()
+QUERIES = registry.queries()
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas")
 
@@ -52,6 +52,41 @@ def test_search_many_equals_search_for_any_term(spark):
         assert [r.id for r in sorted((r for r in batch if r.term == w), key=lambda r: r.rank)] == one, w
 
 
+def test_search_many_checks_few_rows_in_vain(spark):
+    from pyspark.sql import functions as F
+    from marquee.plans.listings import TITLE_TEXTS, search_index
+    from marquee.registry import catalog_snapshot
+    cat = catalog_snapshot(spark, SF_SMALL)
+    terms = cat.titles.select(F.substring("primary_title", 1, 8).alias("term"))
+    index = search_index(cat, terms)
+    candidates, matches = (f(cat.titles, TITLE_TEXTS).count() for f in (index.candidates, index.matches))
+    assert 0 < matches <= candidates <= 2 * matches, (candidates, matches)
+
+
+@pytest.mark.parametrize("cell, small", [(4096, 100_000), (7, 0)])
+def test_search_many_joins_on_keys_without_broadcast(spark, monkeypatch, cell, small):
+    """Short, wildcard-only and shared terms too; the second case deals every hot gram to a grid of cells."""
+    from marquee.operators import grams
+    from marquee.plans.listings import search, search_many
+    from marquee.registry import catalog_snapshot
+    monkeypatch.setattr(grams, "CELL", cell)
+    monkeypatch.setattr(grams, "SMALL", small)
+    cat = catalog_snapshot(spark, SF_SMALL)
+    words = ["title 1", "t", "%", "", "_", "1_", "12", "zz", "nowhere", "İ", "le 4%son"] + [f"itle {i}" for i in range(20)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = search_many(cat, spark.createDataFrame([(w,) for w in words * 2], "term string"), limit=3)
+        rows = batch.collect()
+        plan = batch._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    for w in words[:11]:
+        one = [r.id for r in search(cat, w, limit=3).collect()]
+        assert [r.id for r in sorted((r for r in rows if r.term == w), key=lambda r: r.rank)] == one, w
+
+
 def test_check_catalog_uses_the_real_keys(spark):
     from pyspark.sql import functions as F
     from marquee.plans.checks import check_catalog
