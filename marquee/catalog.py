@@ -7,11 +7,14 @@ job only scans the tables (and columns) it touches.
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .operators.skew import HeavyKeys
+
 _S, _I, _B = T.StringType(), T.IntegerType(), T.BooleanType()
 
 TITLES = T.StructType([
@@ -125,6 +128,11 @@ class Catalog:
     title_genres: DataFrame
     ratings: DataFrame
 
+    @cached_property
+    def heavy_titles(self) -> HeavyKeys:
+        """Titles that hold a large share of all credits, found once per catalogue (see `operators.skew`)."""
+        return HeavyKeys(self.title_people.select("title_id"), "title_id")
+
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..functions.columns import (decade, mean, mean_at_least, ratio_pct, round_dec, round_half_up,
                                  stddev, stddev_at_most, string_list)
+from ..operators.pairs import threshold_pairs
 from ..operators.position import with_global_position, with_ntile
 from ..operators.running import running_aggregates
+from ..operators.skew import join_chain
 from ..operators.topk import top_k, top_k_per_key, top_k_table
 from .common import ACTING, credits, genre_names, ratings_at_least, season_episode_counts, titles_of_type
 
@@ -105,11 +107,10 @@ def _slope_label(x, y) -> F.Column:
 
 def _movie_credits(cat: Catalog, categories: tuple[str, ...], min_votes: int | None) -> DataFrame:
     """person_id, title_id, start_year, primary_title, average_rating, num_votes of rated movies."""
-    m = titles_of_type(cat, "movie", "id", "primary_title", "start_year")
+    m = titles_of_type(cat, "movie", F.col("id").alias("title_id"), "primary_title", "start_year")
     r = ratings_at_least(cat, min_votes).select("title_id", "average_rating", "num_votes")
     c = credits(cat, categories).select("title_id", "person_id", "category")
-    mr = m.join(r, m["id"] == r["title_id"]).drop("id")
-    return c.join(mr, "title_id")
+    return join_chain(c, "title_id", [(m, "inner"), (r, "inner")], cat.heavy_titles, ["person_id"])
 
 
 def _known(cat: Catalog, credits_: DataFrame, column: str = "person_id") -> DataFrame:
@@ -215,11 +216,11 @@ def genre_popularity(cat: Catalog, min_year: int = 1970) -> DataFrame:
 def collaborations(cat: Catalog, min_count: int = 3, k: int = 50, sample: int = 3) -> DataFrame:
     """Director-actor pairs with at least `min_count` shared movies; top k.
 
-    The equi-join on title emits the director x cast combinations of each movie (a movie's directors
-    are few) and the pair counts aggregate map-side. Directors with too few movies are cut first
-    (exact: a pair's count is at most the director's movies times the acting categories a person can
-    hold on one title). Only the k reported pairs need their first `sample` titles: those come from
-    the credits of the k pairs' people alone (broadcast semi-joins against at most k ids).
+    The pairs are counted by `threshold_pairs`: people who cannot reach the count are pruned first, and a
+    movie with very many directors and cast never emits their combinations. A person credited on one movie
+    in two acting categories counts twice there, as two credit rows. Only the k reported pairs need their
+    first `sample` titles: those come from the credits of the k pairs' people alone (broadcast semi-joins
+    against at most k ids).
     """
     movie_ids = titles_of_type(cat, "movie", "id")
     d = (credits(cat, ("director",)).join(movie_ids, F.col("title_id") == F.col("id"), "left_semi")
@@ -228,14 +229,13 @@ def collaborations(cat: Catalog, min_count: int = 3, k: int = 50, sample: int =
     a = (credits(cat, ACTING).join(movie_ids, F.col("title_id") == F.col("id"), "left_semi")
          .select("title_id", F.col("person_id").alias("actor_id")))
     a = _known(cat, a, "actor_id")
-    busy = d.groupBy("director_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * len(ACTING) >= min_count)
-    d_busy = d.join(busy.select("director_id"), "director_id", "left_semi")
-    pairs = (d_busy.join(a, "title_id").where(F.col("director_id") != F.col("actor_id"))
-             .join(cat.ratings.select("title_id", "average_rating"), "title_id", "left"))
-    counts = pairs.groupBy("director_id", "actor_id").agg(
-        F.count(F.lit(1)).alias("collaboration_count"),
-        mean(R()).alias("avg_raw"),
-    ).where(F.col("collaboration_count") >= min_count)
+    counts = threshold_pairs(
+        d.select(F.col("title_id").alias("key"), F.col("director_id").alias("left")),
+        a.groupBy(F.col("title_id").alias("key"), F.col("actor_id").alias("right")).agg(F.count(F.lit(1)).alias("weight")),
+        cat.ratings.select(F.col("title_id").alias("key"), R().alias("value")), min_count)
+    counts = counts.select(F.col("left").alias("director_id"), F.col("right").alias("actor_id"),
+                           F.col("count").alias("collaboration_count"),
+                           F.try_divide(F.col("total").cast("double"), F.col("rated")).alias("avg_raw"))
     best = top_k_table(counts, [F.col("collaboration_count").desc(), F.col("avg_raw").desc_nulls_first(),
                           F.col("director_id").asc(), F.col("actor_id").asc()], k)
     # sample titles for the chosen pairs only

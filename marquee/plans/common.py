@@ -15,7 +15,7 @@ from ..functions.columns import string_list
 ACTING = ("actor", "actress")
 
 
-def titles_of_type(cat: Catalog, title_type: str, *cols: str) -> DataFrame:
+def titles_of_type(cat: Catalog, title_type: str, *cols: str | Column) -> DataFrame:
     t = cat.titles.where(F.col("title_type") == title_type)
     return t.select(*cols) if cols else t
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.columns import mean, string_list
+from ..operators.skew import join_chain
 from ..operators.topk import top_k_per_key
 from .common import (ACTING, cat_rank, credits, genre_list_by_title, restrict, season_episode_counts,
                      titles_of_type)
@@ -150,7 +151,8 @@ def filmography(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     Page order per person: category, start_year DESC NULLS LAST, primary_title.
     """
     c = restrict(cat.title_people, keys, "person_id")
-    t = cat.titles.select("id", "primary_title", "title_type", "start_year")
-    j = _with_rating(c.join(t, c["title_id"] == t["id"]), cat)
+    t = cat.titles.select(F.col("id").alias("title_id"), "primary_title", "title_type", "start_year")
+    r = cat.ratings.select("title_id", "average_rating")
+    j = join_chain(c, "title_id", [(t, "inner"), (r, "left")], cat.heavy_titles, ["person_id"])
     return j.select("person_id", "title_id", "primary_title", "title_type", "start_year", "category", "job",
                     "characters", "average_rating")

@@ -137,7 +137,7 @@ def import_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_rows(snapshot)
 
 
-_CATALOGS: dict[tuple[str, str], str] = {}
+_CATALOGS: dict[tuple[str, str], Catalog] = {}
 
 
 def catalog_snapshot(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -148,8 +148,8 @@ def catalog_snapshot(spark: SparkSession, sf_dir: str) -> Catalog:
     if key not in _CATALOGS:
         path = new_scratch_path(spark, "catalog")
         write_catalog(catalog_from_testdata(spark, sf_dir), path)
-        _CATALOGS[key] = path
-    return read_catalog(spark, _CATALOGS[key])
+        _CATALOGS[key] = read_catalog(spark, path)
+    return _CATALOGS[key]
 
 
 def _run(job: Callable[..., DataFrame], kwargs: dict, spark: SparkSession, sf_dir: str) -> DataFrame:
