@@ -7,7 +7,7 @@ job only scans the tables (and columns) it touches.
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,26 +149,63 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """One table of a snapshot (declared schema, no inference)."""
-    df = spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+def read_table(spark: SparkSession, path: str, folder: str, name: str) -> DataFrame:
+    """One folder of a table (declared schema, no inference)."""
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{folder}")
     return df.select([(_from_folder(F.col(f.name)) if f.name in FREE_FOLDERS.get(name, ()) else F.col(f.name))
                       .alias(f.name) for f in SCHEMAS[name].fields])
 
 
-def mark_complete(spark: SparkSession, path: str) -> None:
-    """Write the mark of a complete snapshot, after its tables."""
-    spark.range(1).select(F.lit(len(SCHEMAS)).alias("tables")).write.mode("overwrite").parquet(f"{path}/{COMPLETE}")
+# The manifest is written last into a snapshot: the folders of each table, oldest first, and for each
+# folder what the import that wrote it counted. A folder without "/" lies in the snapshot itself.
+MANIFEST = "manifest"
+COUNTS = ("staged", "orphans", "repeated", "known", "inserted")
+MANIFEST_SCHEMA = T.StructType([T.StructField("table", _S, False), T.StructField("part", _I, False),
+                                T.StructField("folder", _S, False), *[T.StructField(c, T.LongType()) for c in COUNTS]])
+
+
+def read_manifest(spark: SparkSession, path: str) -> list[tuple]:
+    """The manifest rows of a snapshot: a few per table and import. A snapshot without one (a write that
+    failed or still runs) is refused: Spark does not find the path."""
+    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/{MANIFEST}").orderBy("table", "part").collect()
+    return [tuple(r) for r in rows]
+
+
+def write_manifest(spark: SparkSession, path: str, counts: dict[str, dict[str, int]] | None = None,
+                   base: str | None = None) -> None:
+    """Complete the snapshot at `path`: its own folders behind those of the snapshot `base`, if given."""
+    rows = [(t, part, folder if "/" in folder else f"{base}/{folder}", *numbers)
+            for t, part, folder, *numbers in (read_manifest(spark, base) if base else [])]
+    parts = {t: sum(r[0] == t for r in rows) for t in SCHEMAS}
+    rows += [(t, parts[t], t, *[(counts or {}).get(t, {}).get(c) for c in COUNTS]) for t in SCHEMAS]
+    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
 
 
 def read_catalog(spark: SparkSession, path: str) -> Catalog:
-    """Load a Parquet snapshot written by `write_catalog` or the import. One without the mark of a
-    complete snapshot (a write that failed or still runs) is refused: Spark does not find the path."""
-    spark.read.schema("tables int").parquet(f"{path}/{COMPLETE}")
-    return Catalog(**{name: read_table(spark, path, name) for name in SCHEMAS})
+    """Load a snapshot written by `write_catalog` or by an import: each table is the union of its folders.
+    Filters and column pruning reach every folder's scan."""
+    return read_parts(spark, path, 0)
+
+
+def read_parts(spark: SparkSession, path: str, skip: int) -> Catalog:
+    """The catalogue without the first `skip` folders of each table."""
+    folders: dict[str, list[str]] = {}
+    for table, part, folder, *_ in read_manifest(spark, path):
+        if part >= skip:
+            folders.setdefault(table, []).append(folder)
+
+    def read(name: str) -> DataFrame:
+        parts = [read_table(spark, *(f.rsplit("/", 1) if "/" in f else (path, f)), name) for f in folders[name]]
+        return reduce(DataFrame.unionByName, parts)
+
+    return Catalog(**{name: read(name) for name in SCHEMAS})
+
 
+def compact_catalog(spark: SparkSession, path: str, out: str) -> Catalog:
+    """Rewrite a snapshot of many imports as one folder per table."""
+    write_catalog(read_catalog(spark, path), out)
+    return read_catalog(spark, out)
 
-COMPLETE = "complete"  # written last into a snapshot
 
 # Partition columns of the snapshot layout: `titles` by type and credits by category (both a handful
 # of values), so the type and role filters of the jobs prune whole folders of the largest tables.
@@ -206,12 +243,13 @@ def table_writer(df: DataFrame, name: str, mode: str = "errorifexists"):
     return writer.partitionBy(*columns) if columns else writer
 
 
-def write_catalog(catalog: Catalog, path: str, mode: str = "errorifexists") -> None:
-    """Write all eight tables (independent jobs, submitted side by side)."""
+def write_catalog(catalog: Catalog, path: str, mode: str = "errorifexists", base: str | None = None) -> None:
+    """Write all eight tables (independent jobs, submitted side by side), as a part on top of the snapshot
+    `base`, if given."""
     from .session import run_concurrently
 
     def write(name: str, df: DataFrame):
         return lambda: table_writer(df, name, mode).parquet(f"{path}/{name}")
 
     run_concurrently(*[write(name, df) for name, df in catalog.tables().items()])
-    mark_complete(catalog.titles.sparkSession, path)
+    write_manifest(catalog.titles.sparkSession, path, base=base)

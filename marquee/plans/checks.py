@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, Catalog
+from ..catalog import (FOREIGN_KEYS, NOT_NULL, PRIMARY_KEYS, Catalog, read_catalog, read_manifest,
+                       read_parts)
 
 UNIQUE = {"genres": ["name"]}
 MAX_LENGTH = {("titles", "title_type"): 20}
@@ -35,46 +36,114 @@ def _rules() -> list[tuple[str, str]]:
     return rules
 
 
-def check_catalog(cat: Catalog) -> DataFrame:
-    """One row per rule: (table, rule, violations, sample).
+UNIQUE_KEYS = ([(t, f"primary key ({', '.join(k)}) unique", k) for t, k in PRIMARY_KEYS.items()]
+               + [(t, f"({', '.join(c)}) unique", c) for t, c in UNIQUE.items()])
 
-    Few passes whatever the number of rules: one aggregation per unique key, one scan per table that
-    emits its row-level violations, and one anti-join per referenced table against all columns that
-    reference it, whose rows are first combined to one per referenced id (so an id that very many rows
-    refer to is one row in the join); a join onto the rule list reports the clean rules with 0.
-    """
-    tables = cat.tables()
-    spark = cat.titles.sparkSession
-    # uniqueness: one aggregation per key, on the key's own columns; text is made for the sample only
-    unique_sets = [(t, f"primary key ({', '.join(k)}) unique", k) for t, k in PRIMARY_KEYS.items()]
-    unique_sets += [(t, f"({', '.join(c)}) unique", c) for t, c in UNIQUE.items()]
-    duplicated = reduce(DataFrame.unionByName, [
-        tables[t].groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-        .select(F.lit(t).alias("table"), F.lit(rule).alias("rule"), _key_text(cols).alias("key"),
-                F.lit(1).cast("bigint").alias("n"))
-        for t, rule, cols in unique_sets])
-    # row-level rules: one scan per table, one output row per violated rule
-    violations = []
+# What is kept of a checked snapshot: violations by rule, and the references without a target.
+FOUND = "table string, rule string, violations long, sample string"
+DANGLING = "table string, rule string, ref string, key string, n long"
+
+
+def _repeated_keys(tables: dict[str, DataFrame], known: dict[str, DataFrame] | None) -> DataFrame:
+    """Keys that `tables` make repeated: with `known`, those not repeated there before. One aggregation per
+    key, on the key's own columns; text is made for the sample only."""
+    parts = []
+    for t, rule, cols in UNIQUE_KEYS:
+        counts = tables[t].groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+        if known is not None:
+            new = counts.select(*[F.col(c).alias(f"_{c}") for c in cols], "_n")
+            same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols])
+            before = known[t].select(*cols).join(new, same, "left_semi").groupBy(*cols).agg(
+                F.count(F.lit(1)).alias("_before"))
+            counts = (new.join(before, same, "left").where(F.coalesce("_before", F.lit(0)) <= 1)
+                      .select(*[F.col(f"_{c}").alias(c) for c in cols],
+                              (F.col("_n") + F.coalesce("_before", F.lit(0))).alias("_n")))
+        parts.append(counts.where(F.col("_n") > 1).select(
+            F.lit(t).alias("table"), F.lit(rule).alias("rule"), _key_text(cols).alias("key"),
+            F.lit(1).cast("bigint").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _faulty_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """Row-level rules: one scan per table, one output row per violated rule."""
+    parts = []
     for table, key in PRIMARY_KEYS.items():
         checks = [(f"{c} not null", F.col(c).isNull()) for c in key + NOT_NULL.get(table, [])]
         checks += [(f"length({col}) <= {n}", F.length(col) > n)
                    for (t, col), n in MAX_LENGTH.items() if t == table]
         failed = F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond in checks]), lambda r: r.isNotNull())
-        violations.append(tables[table].select(F.lit(table).alias("table"), F.explode(failed).alias("rule"),
-                                               _key_text(key).alias("key"), F.lit(1).cast("bigint").alias("n")))
-    # foreign keys: all columns referencing one table, checked with one anti-join
+        parts.append(tables[table].select(F.lit(table).alias("table"), F.explode(failed).alias("rule"),
+                                          _key_text(key).alias("key"), F.lit(1).cast("bigint").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _dangling(tables: dict[str, DataFrame], targets: dict[str, DataFrame], before: DataFrame | None) -> DataFrame:
+    """References of `tables` and of `before` (the references left open by earlier parts) that no row of
+    `targets` resolves: all columns referencing one table in one anti-join. Rows are first combined to one
+    per referenced id, so an id that very many rows refer to is one row in the join."""
+    parts = []
     for ref in sorted({r for _, _, r, _ in FOREIGN_KEYS}):
-        sources = [tables[t].where(F.col(col).isNotNull()).select(
-            F.lit(t).alias("table"), F.lit(f"{col} references {r}({rc})").alias("rule"),
-            _key_text(PRIMARY_KEYS[t]).alias("key"), F.col(col).cast("string").alias("_ref"))
-            for t, col, r, rc in FOREIGN_KEYS if r == ref]
-        ref_col = next(rc for _, _, r, rc in FOREIGN_KEYS if r == ref)
-        target = tables[ref].select(F.col(ref_col).cast("string").alias("_ref"))
-        combined = reduce(DataFrame.unionByName, sources).groupBy("table", "rule", "_ref").agg(
-            F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
-        violations.append(combined.join(target, "_ref", "left_anti").drop("_ref"))
-    found = reduce(DataFrame.unionByName, [duplicated, *violations]).groupBy("table", "rule").agg(
-        F.sum("n").alias("violations"), F.min("key").alias("sample"))
-    rules = spark.createDataFrame(_rules(), "table string, rule string")
-    return rules.join(found, ["table", "rule"], "left").select(
+        here = [(t, col, f"{col} references {r}({rc})", rc) for t, col, r, rc in FOREIGN_KEYS if r == ref]
+        rows = reduce(DataFrame.unionByName, [
+            tables[t].where(F.col(col).isNotNull()).select(
+                F.lit(t).alias("table"), F.lit(rule).alias("rule"), F.col(col).cast("string").alias("ref"),
+                _key_text(PRIMARY_KEYS[t]).alias("key"), F.lit(1).cast("bigint").alias("n"))
+            for t, col, rule, _ in here])
+        if before is not None:
+            open_ = reduce(Column.__or__, [(F.col("table") == t) & (F.col("rule") == rule) for t, _, rule, _ in here])
+            rows = rows.unionByName(before.where(open_))
+        combined = rows.groupBy("table", "rule", "ref").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
+        target = targets[ref].select(F.col(here[0][3]).cast("string").alias("ref"))
+        parts.append(combined.join(target, "ref", "left_anti").select("table", "rule", "ref", "key", "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_rule(found: DataFrame) -> DataFrame:
+    return found.groupBy("table", "rule").agg(F.sum("n").alias("violations"), F.min("key").alias("sample"))
+
+
+def _report(found: DataFrame) -> DataFrame:
+    """Every rule with its violations, 0 for the clean ones. `found`: (table, rule, violations, sample)."""
+    rules = found.sparkSession.createDataFrame(_rules(), "table string, rule string")
+    total = found.groupBy("table", "rule").agg(F.sum("violations").alias("violations"), F.min("sample").alias("sample"))
+    return rules.join(total, ["table", "rule"], "left").select(
         "table", "rule", F.coalesce("violations", F.lit(0)).alias("violations"), "sample")
+
+
+def check_catalog(cat: Catalog) -> DataFrame:
+    """One row per rule: (table, rule, violations, sample).
+
+    Few passes whatever the number of rules: one aggregation per unique key, one scan per table that
+    emits its row-level violations, and one anti-join per referenced table against all columns that
+    reference it; a join onto the rule list reports the clean rules with 0.
+    """
+    tables = cat.tables()
+    return _report(_by_rule(reduce(DataFrame.unionByName, [
+        _repeated_keys(tables, None), _faulty_rows(tables), _dangling(tables, tables, None).drop("ref")])))
+
+
+def check_snapshot(spark: SparkSession, path: str, base: str | None = None) -> DataFrame:
+    """`check_catalog` of the snapshot at `path`, with what was found kept beside it.
+
+    With `base`, an earlier checked snapshot that `path` was written on, only the folders added since are
+    checked: their rows; their keys against the same keys of the earlier folders (a semi-join, nothing earlier
+    is aggregated again); their references against all targets. References that `base` left open are tried
+    against the new targets only. Equal to the full check, since nothing is ever removed from a snapshot."""
+    skip = 0 if base is None else 1 + max(part for _, part, *_ in read_manifest(spark, base))
+    new = read_parts(spark, path, skip).tables()
+    if base is None:
+        found = _by_rule(_repeated_keys(new, None).unionByName(_faulty_rows(new)))
+        _dangling(new, new, None).write.parquet(f"{path}/checks/dangling")
+    else:
+        known, whole = read_catalog(spark, base).tables(), read_catalog(spark, path).tables()
+        before = spark.read.schema(DANGLING).parquet(f"{base}/checks/dangling")
+        earlier = spark.read.schema(FOUND).parquet(f"{base}/checks/found")
+        found = _by_rule(_repeated_keys(new, known).unionByName(_faulty_rows(new))).unionByName(earlier)
+        found = found.groupBy("table", "rule").agg(F.sum("violations").alias("violations"),
+                                                   F.min("sample").alias("sample"))
+        none = {t: df.limit(0) for t, df in new.items()}
+        (_dangling(new, whole, None).unionByName(_dangling(none, new, before))
+         .write.parquet(f"{path}/checks/dangling"))
+    found.write.parquet(f"{path}/checks/found")
+    dangling = spark.read.schema(DANGLING).parquet(f"{path}/checks/dangling")
+    return _report(spark.read.schema(FOUND).parquet(f"{path}/checks/found").unionByName(_by_rule(dangling.drop("ref"))))

@@ -116,15 +116,15 @@ def catalog_rows(cat: Catalog) -> DataFrame:
     return out
 
 
-_DUMPS: dict[tuple[str, str], str] = {}
+_DUMPS: dict[tuple[str, str, int | None], str] = {}
 
 
-def _test_dumps(spark: SparkSession, sf_dir: str) -> str:
+def _test_dumps(spark: SparkSession, sf_dir: str, edition: int | None = None) -> str:
     """Raw dumps derived from the test tables, written once per session and input folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, edition)
     if key not in _DUMPS:
         raw = new_scratch_path(spark, "dumps")
-        write_test_dumps(spark, sf_dir, raw)
+        write_test_dumps(spark, sf_dir, raw, edition)
         _DUMPS[key] = raw
     return _DUMPS[key]
 
@@ -137,6 +137,42 @@ def import_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog_rows(snapshot)
 
 
+def reimport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I11 again over an existing snapshot: known rows that changed, repeated rows and new rows."""
+    first = new_scratch_path(spark, "snapshot")
+    I.import_catalog(spark, _test_dumps(spark, sf_dir, 1), first, details=detail_rows(spark, sf_dir))
+    snapshot = I.import_catalog(spark, _test_dumps(spark, sf_dir, 2), new_scratch_path(spark, "snapshot"),
+                                previous=first, details=detail_rows(spark, sf_dir))
+    return catalog_rows(snapshot)
+
+
+def faulty_parts(cat: Catalog) -> tuple[Catalog, Catalog]:
+    """Two parts of a catalogue with violations of every kind: the second resolves some of the first's
+    references, repeats some of its keys, and brings rows without a name and a title type too long."""
+    ends = lambda c, *x: F.substring(c, -len(x[0]), len(x[0])).isin(*x)
+    empty = {name: df.limit(0) for name, df in cat.tables().items()}
+    first = cat.replace(titles=cat.titles.where(~ends("id", "5", "7")), people=cat.people.where(~ends("id", "3")),
+                        genres=cat.genres.where("id > 1"), title_genres=cat.title_genres.where(~ends("title_id", "9")))
+    titles = cat.titles.where(ends("id", "7")).unionByName(cat.titles.where(ends("id", "11"))).unionByName(
+        cat.titles.where(ends("id", "15")).withColumn("title_type", F.lit("a title type of over 20")))
+    people = cat.people.where(ends("id", "13")).withColumn("name", F.lit(None).cast("string"))
+    second = Catalog(**empty).replace(
+        titles=titles, people=people, ratings=cat.ratings.where(ends("title_id", "22")),
+        genres=cat.genres.where("id = 2").withColumn("id", F.lit(None).cast("int")),
+        title_genres=cat.title_genres.where(ends("title_id", "9")))
+    return first, second
+
+
+def check_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I10 on a snapshot of two parts with violations: the second part checked on top of the first's state."""
+    first, second = faulty_parts(catalog_snapshot(spark, sf_dir))
+    base, path = new_scratch_path(spark, "faulty"), new_scratch_path(spark, "faulty")
+    write_catalog(first, base)
+    C.check_snapshot(spark, base)
+    write_catalog(second, path, base=base)
+    return plain_types(C.check_snapshot(spark, path, base))
+
+
 _CATALOGS: dict[tuple[str, str], Catalog] = {}
 
 
@@ -169,7 +205,9 @@ def search_many_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: partial(_run, job, kwargs) for name, (job, kwargs) in JOBS.items()}
     out["check_catalog"] = partial(_run, C.check_catalog, {})
+    out["check_incremental"] = check_again
     out["import_catalog"] = import_roundtrip
+    out["reimport_catalog"] = reimport
     out["search_many"] = search_many_titles
     return out
 
@@ -179,5 +217,7 @@ def oracle_sql() -> dict[str, str]:
     statements.update({name: build(**params) for name, (_, params, build) in LISTINGS.items()})
     statements["check_catalog"] = oracle.check_catalog_sql()
     statements["search_many"] = oracle.search_many_sql()
+    statements["check_incremental"] = oracle.check_catalog_sql(oracle.FAULTY)
     statements["import_catalog"] = oracle.catalog_rows_sql()
+    statements["reimport_catalog"] = oracle.catalog_rows_sql(oracle.REIMPORTED)
     return {name: statements[name] for name in queries() if name in statements}

@@ -8,9 +8,11 @@ from decimal import Decimal
 
 import pytest
 
-from marquee.catalog import read_catalog, table_writer
-from marquee.plans.checks import check_catalog
-from marquee.plans.imports import import_catalog, import_titles
+from conftest import SF_SMALL
+from marquee import registry
+from marquee.catalog import compact_catalog, read_catalog, table_writer, write_catalog
+from marquee.plans.checks import check_catalog, check_snapshot
+from marquee.plans.imports import import_catalog, import_report, import_titles
 from marquee.sources import tsv
 
 N = "\\N"
@@ -119,16 +121,58 @@ def test_reimport_keeps_existing_rows_and_adds_new_ones(spark, imported):
     raw2 = os.path.join(scratch, "raw2")
     write_all(raw2, basics=BASICS + [["tt8", "movie", "New", N, "0", "2020", N, "90", "Horror"]],
               ratings=[["tt1", "1.0", "5"], ["tt8", "6.0", "20"]])
-    second = import_catalog(spark, raw2, os.path.join(scratch, "snap2"), previous=first)
+    second = import_catalog(spark, raw2, os.path.join(scratch, "snap2"), previous=os.path.join(scratch, "snap1"))
     assert rows(second.ratings, "title_id", "average_rating") == [
         ("tt1", Decimal("7.5")), ("tt3", Decimal("8.1")), ("tt8", Decimal("6.0"))]
     assert rows(second.genres, "id", "name") == [(1, "Comedy"), (2, "Drama"), (3, "Horror")]
     # running the same dumps again changes nothing
-    third = import_catalog(spark, raw2, os.path.join(scratch, "snap3"), previous=second)
+    third = import_catalog(spark, raw2, os.path.join(scratch, "snap3"), previous=os.path.join(scratch, "snap2"))
     for name, df in second.tables().items():
         assert sorted(df.collect()) == sorted(third.tables()[name].collect()), name
 
 
+def _files(path):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs}
+
+
+def test_reimport_writes_new_rows_only(spark, imported):
+    """The earlier snapshot's files stay as they are, the later one's hold the inserted rows alone, and the
+    report of both says what happened to every staged row."""
+    _, scratch = imported
+    first, second = os.path.join(scratch, "snap1"), os.path.join(scratch, "snap-new")
+    before = _files(first)
+    raw2 = os.path.join(scratch, "raw-new")
+    write_all(raw2, basics=BASICS + [["tt8", "movie", "New", N, "0", "2020", N, "90", "Horror"]],
+              ratings=[["tt1", "1.0", "5"], ["tt8", "6.0", "20"], ["tt8", "6.1", "21"], ["tt99", "6.0", "20"]])
+    cat = import_catalog(spark, raw2, second, previous=first)
+    assert _files(first) == before
+    assert [r.id for r in spark.read.parquet(f"{second}/titles").collect()] == ["tt8"]
+    assert cat.titles.count() == 5
+    report = {(r.table, r.part): tuple(r)[2:] for r in import_report(spark, second).collect()}
+    assert report["ratings", 1] == (4, 1, 1, 1, 1)
+    assert report["titles", 1][-2:] == (4, 1)
+    assert report["genres", 1][-1] == 1 and report["titles", 0][-1] == 4
+    assert all(r[0] == sum(r[1:]) for r in report.values() if None not in r)
+    whole = compact_catalog(spark, second, os.path.join(scratch, "snap-whole"))
+    for name, df in cat.tables().items():
+        assert sorted(df.collect()) == sorted(whole.tables()[name].collect()), name
+
+
+def test_incremental_check_equals_the_full_check(spark, scratch):
+    cat = registry.catalog_snapshot(spark, SF_SMALL)
+    first, second = registry.faulty_parts(cat)
+    a, b, c = (os.path.join(scratch, x) for x in "abc")
+    write_catalog(first, a)
+    write_catalog(second, b, base=a)
+    write_catalog(cat.replace(**{n: df.limit(0) for n, df in cat.tables().items() if n not in ("people", "genres")}),
+                  c, base=b)
+    for path, base in ((a, None), (b, a), (c, b)):
+        got = check_snapshot(spark, path, base).collect()
+        wanted = check_catalog(read_catalog(spark, path)).collect()
+        assert sorted(got, key=str) == sorted(wanted, key=str)
+        assert sum(r.violations > 0 for r in got) >= 4
+
+
 def test_short_row_fails_loudly(spark, scratch):
     raw = os.path.join(scratch, "bad")
     write_all(raw, basics=BASICS + [["tt9", "movie", "Too short"]])
@@ -182,7 +226,7 @@ def test_any_category_survives_the_snapshot(spark, scratch):
     write(raw, tsv.TITLE_PRINCIPALS, PRINCIPALS + [["tt2", "1", "nm1", c, N, N] for c in names])
     cat = import_catalog(spark, raw, os.path.join(scratch, "out"))
     assert sorted(r.category for r in cat.title_people.where("title_id = 'tt2'").collect()) == sorted(names)
-    again = import_catalog(spark, raw, os.path.join(scratch, "again"), previous=cat)
+    again = import_catalog(spark, raw, os.path.join(scratch, "again"), previous=os.path.join(scratch, "out"))
     assert sorted(again.title_people.collect()) == sorted(cat.title_people.collect())
 
 
