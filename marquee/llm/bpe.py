@@ -37,6 +37,7 @@ from .common import slices
 
 # The White_Space property, as the file's `\s` has it.
 SPACES = "\t-\r \x85\xa0  -     　"
+SLICE = 4 << 20              # bytes of text handled at once
 CACHED = 150_000             # chunks and words of a generation that a task remembers
 NONE = np.iinfo(np.int64).max
 
@@ -121,7 +122,9 @@ class Vocabulary:
             live[at + 1] = False
             moved = np.cumsum(live)[at] - 1
             symbols, word, ranks = symbols[live], word[live], ranks[live]
-            changed = np.unique(np.concatenate([moved, np.maximum(moved - 1, 0)]))
+            touched = np.zeros(symbols.size, bool)
+            touched[moved] = touched[np.maximum(moved - 1, 0)] = True
+            changed = np.flatnonzero(touched)
             ranks[changed] = self._ranks(symbols, word, changed)
         return done
 
@@ -191,7 +194,7 @@ class Encoder:
         word of the pattern and cuts words."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         codes = lists.flatten().dictionary_encode()
-        distinct = codes.dictionary.to_pylist()
+        distinct = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = self.chunks.missing(set(distinct) - {""})
         if new:
             self._learn(new)
@@ -223,7 +226,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         if "encoder" not in memory:
             memory["encoder"] = Encoder(Vocabulary(shared.value))
         rows = pa.RecordBatch.from_arrays([texts], ["text"])
-        parts = [memory["encoder"].batch(part.column(0)) for part in slices(rows, "text")]
+        parts = [memory["encoder"].batch(part.column(0)) for part in slices(rows, "text", SLICE)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(ids_col, run(F.col(text_col)))
