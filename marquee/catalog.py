@@ -133,6 +133,11 @@ class Catalog:
         """Titles that hold a large share of all credits, found once per catalogue (see `operators.skew`)."""
         return HeavyKeys(self.title_people.select("title_id"), "title_id")
 
+    @cached_property
+    def heavy_people(self) -> HeavyKeys:
+        """People who hold a large share of all credits."""
+        return HeavyKeys(self.title_people.select("person_id"), "person_id")
+
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 

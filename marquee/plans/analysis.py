@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..functions.columns import (decade, mean, mean_at_least, ratio_pct, round_dec, round_half_up,
                                  stddev, stddev_at_most, string_list)
+from ..operators.order import ascending, descending, sort_key, with_ranks
 from ..operators.pairs import threshold_pairs
-from ..operators.position import with_global_position, with_ntile
+from ..operators.position import with_ntile
 from ..operators.running import running_aggregates
 from ..operators.skew import join_chain
 from ..operators.topk import top_k, top_k_per_key, top_k_table
@@ -130,23 +131,22 @@ def director_performance(cat: Catalog, min_votes: int = 100, min_movies: int = 5
         F.sum("num_votes").cast("bigint").alias("total_votes"),
         _slope_label(F.col("start_year"), R()).alias("career_trajectory"),
     ).where(F.col("total_movies") >= min_movies)
-    # Global ROW_NUMBERs over every qualifying director, computed without a single-partition window.
-    ranked = with_global_position(
-        stats, [F.col("avg_exact").desc_nulls_first(), F.col("total_votes").desc_nulls_first(),
-                F.col("person_id").asc()], name="rating_rank")
-    ranked = with_global_position(
-        ranked, [F.col("total_movies").desc(), F.col("person_id").asc()], name="productivity_rank")
-    out = ranked.select(
-        "person_id", "total_movies",
+    out = stats.select(
+        "person_id", "total_movies", "avg_exact",
         round_half_up(F.col("avg_exact"), 2).alias("avg_rating"),
         round_half_up(F.col("rating_consistency"), 2).alias("consistency"),
         "career_start", "career_end",
         (F.col("career_end") - F.col("career_start") + 1).alias("career_length"),
-        "total_votes", "rating_rank", "productivity_rank", "career_trajectory",
+        "total_votes", "career_trajectory",
     )
     # ORDER BY the *rounded* output column (the SQL alias shadows the exact one), ties by id.
     best = top_k(out, [F.col("avg_rating").desc_nulls_first(), F.col("total_votes").desc_nulls_first(),
                        F.col("person_id").asc()], k)
+    # The global ROW_NUMBERs of these k rows among all qualifying directors, by counting who precedes them.
+    best = with_ranks(best, stats, "person_id", {
+        "rating_rank": sort_key(descending("avg_exact", nulls_first=True), descending("total_votes", nulls_first=True),
+                                ascending("person_id")),
+        "productivity_rank": sort_key(descending("total_movies"), ascending("person_id"))})
     people = cat.people.select(F.col("id").alias("person_id"), "name")
     return best.join(people, "person_id").orderBy(
         F.col("avg_rating").desc_nulls_first(), F.col("total_votes").desc_nulls_first(), "person_id").select(
@@ -496,20 +496,20 @@ def most_voted(cat: Catalog, min_votes: int = 10000, k: int = 100) -> DataFrame:
 def dashboard(cat: Catalog) -> DataFrame:
     """Seven (metric, value) rows: counts, mean ratings, most common genre."""
     tt = F.col("title_type")
-    rated = cat.titles.select("id", "title_type").join(
-        cat.ratings.select("title_id", "average_rating"), F.col("id") == F.col("title_id"), "left")
 
     def mean_text(type_name: str):
         col = F.when(tt == type_name, R())
         return F.round(F.try_divide(F.sum(col).cast("double"), F.count(col)).cast("decimal(38,10)"), 2)
 
-    counts = rated.agg(
+    # counts come from the titles alone; only rated titles of two types meet their ratings
+    counts = cat.titles.agg(
         F.count(F.when(tt == "movie", 1)).alias("movies"),
         F.count(F.when(tt == "tvSeries", 1)).alias("series"),
         F.count(F.when(tt == "tvEpisode", 1)).alias("episodes"),
-        mean_text("movie").alias("movie_rating"),
-        mean_text("tvSeries").alias("series_rating"),
     )
+    means = cat.titles.where(tt.isin("movie", "tvSeries")).select("id", "title_type").join(
+        cat.ratings.select("title_id", "average_rating"), F.col("id") == F.col("title_id")).agg(
+        mean_text("movie").alias("movie_rating"), mean_text("tvSeries").alias("series_rating"))
     # metric names and their order are fixed values of the source system's dashboard
     def row(i: int, metric: str, value) -> F.Column:
         return F.struct(F.lit(i).alias("i"), F.lit(metric).alias("metric"), value.cast("string").alias("value"))
@@ -518,6 +518,8 @@ def dashboard(cat: Catalog) -> DataFrame:
         row(1, "Total Movies", F.col("movies")),
         row(2, "Total TV Series", F.col("series")),
         row(3, "Total Episodes", F.col("episodes")),
+    )).alias("m")).select("m.*")
+    scores = means.select(F.explode(F.array(
         row(5, "Average Movie Rating", F.col("movie_rating")),
         row(6, "Average TV Series Rating", F.col("series_rating")),
     )).alias("m")).select("m.*")
@@ -526,7 +528,7 @@ def dashboard(cat: Catalog) -> DataFrame:
     popular = top_k(genre_names(cat).groupBy("genre").agg(F.count(F.lit(1)).alias("n")),
                     [F.col("n").desc(), F.col("genre").asc()], 1).select(
         F.lit(7).alias("i"), F.lit("Most Popular Genre").alias("metric"), F.col("genre").alias("value"))
-    return metrics.unionByName(people).unionByName(popular).orderBy("i").drop("i")
+    return metrics.unionByName(scores).unionByName(people).unionByName(popular).orderBy("i").drop("i")
 
 
 def rating_rollup(cat: Catalog, min_votes: int | None = None) -> DataFrame:

@@ -44,19 +44,19 @@ def genre_names(cat: Catalog) -> DataFrame:
     return cat.title_genres.join(g, "genre_id").select("title_id", "genre")
 
 
-def genre_list_by_title(cat: Catalog) -> DataFrame:
+def genre_list_by_title(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """title_id, genres: distinct genre names joined with ', ' in name order."""
-    return genre_names(cat).groupBy("title_id").agg(string_list(F.col("genre")).alias("genres"))
+    return restrict(genre_names(cat), keys, "title_id").groupBy("title_id").agg(string_list(F.col("genre")).alias("genres"))
 
 
-def season_episode_counts(cat: Catalog) -> DataFrame:
+def season_episode_counts(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """parent_series_id, season_count, episode_count.
 
     COUNT(DISTINCT season) and COUNT(DISTINCT episode) in two partial aggregations instead of one
     Expand-based double distinct: first per (series, season), then per series. episode_id is the
-    episodes key, so counting it per season is counting distinct episodes.
+    episodes key, so counting it per season is counting distinct episodes. `keys` restricts the series.
     """
-    per_season = (cat.episodes.groupBy("parent_series_id", "season_number")
+    per_season = (restrict(cat.episodes, keys, "parent_series_id").groupBy("parent_series_id", "season_number")
                   .agg(F.count("episode_id").alias("_eps")))
     return per_season.groupBy("parent_series_id").agg(
         F.count("season_number").alias("season_count"),

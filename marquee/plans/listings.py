@@ -1,8 +1,8 @@
 """Listing, featured, search and filter-support jobs.
 
 Optional filters are added only when their argument is given, so they never reach the plan as
-`NULL IS NULL OR ...`. Sorted pages are ORDER BY ... LIMIT/OFFSET (TakeOrderedAndProject: each task
-keeps its best offset+limit rows), and the per-title genre list is built for the page rows only.
+`NULL IS NULL OR ...`. Sorted pages are found by counting where the offset is deep (see `operators.order`),
+and the per-title genre list is built for the page rows only.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ import re
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.columns import string_list
 from ..operators.grams import GramIndex
-from ..operators.topk import top_k, top_k_per_key, top_k_table
+from ..operators.order import ascending, descending, page, page_after, sort_key
+from ..operators.topk import top_k, top_k_per_key
+from ..session import scratch_dir
 from .common import genre_names, season_episode_counts, titles_of_type
 
 R = "average_rating"
@@ -35,6 +37,21 @@ def _sort_keys(sort: str | None) -> list[Column]:
     return first + [F.col("num_votes").desc_nulls_last(), F.col("id").asc()]
 
 
+def listing_key(sort: str | None) -> Column:
+    """The same order as one ascending key. Collected from a page's last row, it is where the next page
+    starts (`after`)."""
+    first = {"rating": [descending(R)], "year": [descending("start_year")], "title": [ascending("primary_title")]}
+    return sort_key(*first.get(sort, []), descending("num_votes"), ascending("id"))
+
+
+def _page(rows: DataFrame, sort: str | None, limit: int, offset: int, after: Row | None) -> DataFrame:
+    """A page computed once (at most `limit` rows), whatever the offset (see `operators.order`)."""
+    scratch_dir(rows.sparkSession)
+    key = listing_key(sort)
+    rows = page(rows, key, limit, offset) if after is None else page_after(rows, key, after, limit)
+    return rows.checkpoint(eager=True)
+
+
 def _with_genre(df: DataFrame, cat: Catalog, genre: str | None) -> DataFrame:
     if genre is None:
         return df
@@ -60,24 +77,32 @@ def _page_genres(page: DataFrame, cat: Catalog) -> DataFrame:
 
 def movie_listing(cat: Catalog, year: int | None = None, genre: str | None = None, min_rating=None,
                   adult: bool | None = None, sort: str | None = "rating", limit: int = 20,
-                  offset: int = 0) -> DataFrame:
-    """Filtered, sorted, paged movie list."""
+                  offset: int = 0, after: Row | None = None) -> DataFrame:
+    """Filtered, sorted, paged movie list; by offset, or behind the row whose `listing_key` is `after`."""
     t = titles_of_type(cat, "movie", "id", "primary_title", "start_year", "runtime_minutes", "is_adult")
     if year is not None:
         t = t.where(F.col("start_year") == year)
     if adult is not None:
         t = t.where(F.col("is_adult") == adult)
     t = _rated(_with_genre(t, cat, genre), cat, min_rating)
-    page = top_k_table(t, _sort_keys(sort), limit, offset)
-    return _page_genres(page, cat).orderBy(*_sort_keys(sort)).select(
+    rows = _page(t, sort, limit, offset, after)
+    return _page_genres(rows, cat).orderBy(*_sort_keys(sort)).select(
         "id", "primary_title", "start_year", "runtime_minutes", R, "num_votes", "genres")
 
 
+def _with_seasons(series: DataFrame, counts: DataFrame) -> DataFrame:
+    counts = counts.select(F.col("parent_series_id").alias("_sid"), "season_count")
+    return (series.join(counts, series["id"] == counts["_sid"], "left").drop("_sid")
+            .withColumn("season_count", F.coalesce("season_count", F.lit(0))))
+
+
 def series_listing(cat: Catalog, start_year: int | None = None, end_year: int | None = None,
                    genre: str | None = None, min_rating=None, adult: bool | None = None,
                    min_seasons: int | None = None, sort: str | None = "rating", limit: int = 20,
-                   offset: int = 0) -> DataFrame:
-    """Filtered, sorted, paged series list with numbered-season counts."""
+                   offset: int = 0, after: Row | None = None) -> DataFrame:
+    """Filtered, sorted, paged series list with numbered-season counts; `offset` and `after` as above.
+
+    Seasons are counted before the page is cut only where they decide (`min_seasons`)."""
     t = titles_of_type(cat, "tvSeries", "id", "primary_title", "start_year", "end_year", "is_adult")
     if start_year is not None:
         t = t.where(F.col("start_year") >= start_year)
@@ -86,13 +111,13 @@ def series_listing(cat: Catalog, start_year: int | None = None, end_year: int |
     if adult is not None:
         t = t.where(F.col("is_adult") == adult)
     t = _rated(_with_genre(t, cat, genre), cat, min_rating)
-    seasons = season_episode_counts(cat).select(F.col("parent_series_id").alias("_sid"), "season_count")
-    t = (t.join(seasons, t["id"] == seasons["_sid"], "left").drop("_sid")
-         .withColumn("season_count", F.coalesce("season_count", F.lit(0))))
-    if min_seasons is not None:
-        t = t.where(F.col("season_count") >= min_seasons)
-    page = top_k_table(t, _sort_keys(sort), limit, offset)
-    return _page_genres(page, cat).orderBy(*_sort_keys(sort)).select(
+    if min_seasons is None:
+        rows = _page(t, sort, limit, offset, after)
+        rows = _with_seasons(rows, season_episode_counts(cat, rows.select("id")))
+    else:
+        t = _with_seasons(t, season_episode_counts(cat)).where(F.col("season_count") >= min_seasons)
+        rows = _page(t, sort, limit, offset, after)
+    return _page_genres(rows, cat).orderBy(*_sort_keys(sort)).select(
         "id", "primary_title", "start_year", "end_year", R, "num_votes", "season_count", "genres")
 
 

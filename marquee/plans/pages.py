@@ -9,12 +9,13 @@ before they are joined, so independent bridges never multiply.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Catalog
 from ..functions.columns import mean, string_list
-from ..operators.skew import join_chain
+from ..operators.running import running_aggregates
+from ..operators.skew import HeavyKeys, join_chain
 from ..operators.topk import top_k_per_key
 from .common import (ACTING, cat_rank, credits, genre_list_by_title, restrict, season_episode_counts,
                      titles_of_type)
@@ -37,17 +38,26 @@ def _left(df: DataFrame, other: DataFrame, key: str = "id", other_key: str = "ti
     return df.join(other, df[key] == other[other_key], "left").drop(other[other_key])
 
 
+def _with_position(rows: DataFrame, key: str, order: list, heavy: HeavyKeys) -> DataFrame:
+    """`rows` with their position within `key`; a key with very many rows is numbered by several tasks."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    if heavy.any:
+        return running_aggregates(rows, key, columns, {}).withColumn("position", F.col("pos").cast("bigint"))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*columns)).cast("bigint"))
+
+
 def movie_summary(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """Title columns, rating, distinct directors, writers and genres as ', ' lists."""
     movies = restrict(titles_of_type(cat, "movie", "id", "primary_title", "original_title", "start_year",
                                      "runtime_minutes"), keys, "id")
+    ids = movies.select("id")
     crew = credits(cat, ("director", "writer")).select("title_id", "person_id", "category")
-    crew = restrict(crew, keys, "title_id").join(_people(cat), "person_id")
+    crew = restrict(crew, ids, "title_id").join(_people(cat), "person_id")
     lists = crew.groupBy("title_id").agg(
         string_list(F.when(F.col("category") == "director", F.col("name"))).alias("directors"),
         string_list(F.when(F.col("category") == "writer", F.col("name"))).alias("writers"),
     )
-    out = _left(_left(_with_rating(movies, cat), lists), genre_list_by_title(cat))
+    out = _left(_left(_with_rating(movies, cat), lists), genre_list_by_title(cat, ids))
     return out.select("id", "primary_title", "original_title", "start_year", "runtime_minutes",
                       "average_rating", "num_votes", "directors", "writers", "genres")
 
@@ -82,22 +92,20 @@ def movie_details(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
 
 
 def cast_crew(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
-    """Every credit with the person's details and the page order of its category.
-
-    Sort a title's rows by (category_order, name) to get the page order.
-    """
+    """Every credit with the person's details and its position on the title's page: by category, then name."""
     c = restrict(cat.title_people, keys, "title_id")
     p = cat.people.select(F.col("id").alias("person_id"), "name", "birth_year", "death_year")
-    return c.join(p, "person_id").select(
-        "title_id", "category", "name", "job", "characters", "birth_year", "death_year",
-        cat_rank(F.col("category")).alias("category_order"))
+    rows = c.join(p, "person_id").withColumn("category_order", cat_rank(F.col("category")))
+    return _with_position(rows, "title_id", ["category_order", "name", "person_id", "category"], cat.heavy_titles).select(
+        "title_id", "category", "name", "job", "characters", "birth_year", "death_year", "category_order", "position")
 
 
 def series_summary(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """Per series: rating, numbered-season and episode counts (0 when none), genres."""
     series = restrict(titles_of_type(cat, "tvSeries", "id", "primary_title", "start_year", "end_year"), keys, "id")
-    counts = season_episode_counts(cat).withColumnRenamed("parent_series_id", "title_id")
-    out = _left(_left(_with_rating(series, cat), counts), genre_list_by_title(cat))
+    ids = series.select("id")
+    counts = season_episode_counts(cat, ids).withColumnRenamed("parent_series_id", "title_id")
+    out = _left(_left(_with_rating(series, cat), counts), genre_list_by_title(cat, ids))
     return out.select("id", "primary_title", "start_year", "end_year", "average_rating", "num_votes",
                       F.coalesce("season_count", F.lit(0)).alias("season_count"),
                       F.coalesce("episode_count", F.lit(0)).cast("bigint").alias("episode_count"),
@@ -105,26 +113,29 @@ def series_summary(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
 
 
 def season_breakdown(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
-    """Per series and season: episodes, first year, mean rating, total votes.
+    """Per series and season: episodes, first year, mean rating, total votes, position by season.
 
-    A series holding a large share of all episodes is fine: the aggregation combines map-side.
+    A series holding a large share of all episodes is fine: the aggregation combines map-side, and only its
+    seasons are numbered.
     """
     e = restrict(cat.episodes, keys, "parent_series_id")
     et = cat.titles.select("id", "start_year")
     j = e.join(et, e["episode_id"] == et["id"])
     j = _with_rating(j, cat, key="episode_id")
-    return j.groupBy("parent_series_id", "season_number").agg(
+    seasons = j.groupBy("parent_series_id", "season_number").agg(
         F.count(F.lit(1)).alias("episode_count"),
         F.min("start_year").alias("season_start_year"),
         mean("average_rating").alias("avg_season_rating"),
         F.sum("num_votes").cast("bigint").alias("total_votes"),
     )
+    order = Window.partitionBy("parent_series_id").orderBy(F.col("season_number").asc_nulls_last())
+    return seasons.withColumn("position", F.row_number().over(order).cast("bigint"))
 
 
 def episode_page(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
     """Episode title, season/episode numbers, rating and the parent series' title."""
     t = restrict(cat.titles.select("id", "primary_title", "start_year"), keys, "id")
-    e = cat.episodes
+    e = restrict(cat.episodes, keys, "episode_id")
     series = cat.titles.select(F.col("id").alias("_sid"), F.col("primary_title").alias("series_title"))
     j = (t.join(e, t["id"] == e["episode_id"])
          .join(series, F.col("parent_series_id") == F.col("_sid")))
@@ -133,11 +144,12 @@ def episode_page(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
 
 
 def episode_cast(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
-    """All actors/actresses of each episode (page order: by name)."""
+    """All actors/actresses of each episode with their position by name."""
     eps = restrict(titles_of_type(cat, "tvEpisode", "id"), keys, "id")
     c = credits(cat, ACTING).select("title_id", "person_id", "category", "characters")
     c = c.join(eps, c["title_id"] == eps["id"], "left_semi").join(_people(cat), "person_id")
-    return c.select("title_id", "name", "characters", "category")
+    return _with_position(c, "title_id", ["name", "person_id", "category"], cat.heavy_titles).select(
+        "title_id", "name", "characters", "category", "position")
 
 
 def person_page(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
@@ -146,13 +158,13 @@ def person_page(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
 
 
 def filmography(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
-    """Every credit of each person with title and rating.
-
-    Page order per person: category, start_year DESC NULLS LAST, primary_title.
-    """
+    """Every credit of each person with title, rating and position on the person's page: by category, the
+    newest first (undated last), then title."""
     c = restrict(cat.title_people, keys, "person_id")
     t = cat.titles.select(F.col("id").alias("title_id"), "primary_title", "title_type", "start_year")
     r = cat.ratings.select("title_id", "average_rating")
     j = join_chain(c, "title_id", [(t, "inner"), (r, "left")], cat.heavy_titles, ["person_id"])
-    return j.select("person_id", "title_id", "primary_title", "title_type", "start_year", "category", "job",
-                    "characters", "average_rating")
+    order = ["category", F.col("start_year").desc_nulls_last(), "primary_title", "title_id"]
+    return _with_position(j, "person_id", order, cat.heavy_people).select(
+        "person_id", "title_id", "primary_title", "title_type", "start_year", "category", "job", "characters",
+        "average_rating", "position")

@@ -52,6 +52,14 @@ LISTINGS = {
                                                limit=25, offset=5), oracle.series_listing_sql),
     "series_listing_by_rating": (L.series_listing, dict(genre="SMALL", min_rating=7.0, sort="rating", limit=20),
                                  oracle.series_listing_sql),
+    "movie_listing_plain": (L.movie_listing, dict(sort=None, limit=30), oracle.movie_listing_sql),
+    "movie_listing_by_year": (L.movie_listing, dict(min_rating=5.5, sort="year", limit=25, offset=40),
+                              oracle.movie_listing_sql),
+    "movie_listing_deep": (L.movie_listing, dict(sort="title", limit=20, offset=450), oracle.movie_listing_sql),
+    "series_listing_by_title": (L.series_listing, dict(sort="title", limit=20, offset=3), oracle.series_listing_sql),
+    "series_listing_adult": (L.series_listing, dict(adult=True, sort="rating", limit=20), oracle.series_listing_sql),
+    "featured_adult_series": (L.featured_series, dict(adult=True),
+                              lambda **kw: oracle.featured_sql("tvSeries", 500, adult=True)),
     "featured_movies": (L.featured_movies, {}, lambda **kw: oracle.featured_sql("movie", 1000)),
     "featured_adult_movies": (L.featured_movies, dict(adult=True),
                               lambda **kw: oracle.featured_sql("movie", 1000, adult=True)),
