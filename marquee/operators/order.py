@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPLITS = 256        # bounds of one round
+STEP = 16
 SHALLOW = 10_000    # rows a task may hold beyond the page
 
 
@@ -40,15 +41,25 @@ def sort_key(*parts: Sequence[Column]) -> Column:
     return F.struct(*[c.alias(f"k{i}") for i, c in enumerate(c for p in parts for c in p)])
 
 
-def _not_above(bounds: Column, key: Column) -> Column:
+def _chunks(bounds: Column) -> Column:
+    """A sorted array in chunks of STEP, so that a row looks at one chunk and the chunks' first bounds only."""
+    count = F.ceil(F.size(bounds) / STEP).cast("int")
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
+                                         lambda i: F.slice(bounds, i * STEP + 1, F.lit(STEP))))
+
+
+def _not_above(chunks: Column, key: Column) -> Column:
     """How many of the bounds are not above the key."""
-    return F.size(F.filter(bounds, lambda b: b <= key))
+    full = F.size(F.filter(chunks, lambda c: F.get(c, F.lit(0)) <= key)) - 1
+    rest = F.size(F.filter(F.get(chunks, full), lambda b: b <= key))
+    return F.when(full >= 0, full * STEP + rest).otherwise(F.lit(0))
 
 
 def with_ranks(picks: DataFrame, rows: DataFrame, id_col: str, keys: Mapping[str, Column]) -> DataFrame:
     """`picks` (a bounded number of the `rows`) with a column per entry of `keys`: its 1-based position among
     all rows in that order."""
-    bounds = {name: picks.agg(F.array_sort(F.collect_list(key))).scalar() for name, key in keys.items()}
+    bounds = {name: picks.agg(F.array_sort(F.collect_list(key)).alias("b")).select(_chunks(F.col("b"))).scalar()
+              for name, key in keys.items()}
 
     def places(frame: DataFrame) -> DataFrame:
         frame = frame.withColumns({f"_bounds_{n}": b for n, b in bounds.items()})
@@ -90,7 +101,7 @@ def page_start(rows: DataFrame, key: Column, offset: int, shallow: int = SHALLOW
             break
         array = keyed.sparkSession.createDataFrame([(drawn,)], T.StructType(
             [T.StructField("b", T.ArrayType(keyed.schema["_key"].dataType))]))
-        here = here.withColumn("_bounds", array.scalar())
+        here = here.withColumn("_bounds", array.select(_chunks(F.col("b"))).scalar())
         cells = {r.place: r["count"] for r in here.groupBy(
             _not_above(F.col("_bounds"), F.col("_key")).alias("place")).count().collect()}
         place = 0

@@ -140,8 +140,8 @@ def director_performance(cat: Catalog, min_votes: int = 100, min_movies: int = 5
         "total_votes", "career_trajectory",
     )
     # ORDER BY the *rounded* output column (the SQL alias shadows the exact one), ties by id.
-    best = top_k(out, [F.col("avg_rating").desc_nulls_first(), F.col("total_votes").desc_nulls_first(),
-                       F.col("person_id").asc()], k)
+    best = top_k_table(out, [F.col("avg_rating").desc_nulls_first(), F.col("total_votes").desc_nulls_first(),
+                             F.col("person_id").asc()], k)
     # The global ROW_NUMBERs of these k rows among all qualifying directors, by counting who precedes them.
     best = with_ranks(best, stats, "person_id", {
         "rating_rank": sort_key(descending("avg_exact", nulls_first=True), descending("total_votes", nulls_first=True),
