@@ -1,11 +1,11 @@
 """Packing: optimal length buckets by dynamic programming, token-budget batches inside each bucket.
 
-1. The global histogram of lengths (words per text) is counted in Spark. Lengths up to `EXACT` have a cell
-   each; above, a cell spans at most 1/64 of its lengths, so the histogram has a bounded number of cells at
-   any input size. A cell carries its rows, its tokens and its largest length.
+1. The global histogram of lengths (words per text) is counted in Spark: one cell per length that occurs, so
+   their number is bounded by the longest text. A cell carries its rows and its tokens.
 2. Every text is padded to the largest length of its bucket. Padding of a bucket = rows * largest length -
    tokens. Dynamic programming over the cells finds the `n_buckets` buckets of least total padding
-   (divide and conquer over the optimal cuts, which move one way only: cells * log(cells) * buckets).
+   (divide and conquer over the optimal cuts, which move one way only: cells * log(cells) * buckets, in
+   whole numbers, all cells of one depth at once).
 3. A batch of a bucket holds floor(budget / bucket length) texts, one at least. Rows of a bucket are dealt
    to shards of about `SHARD` rows by a hash of id and text and numbered inside the shard in the order of
    the hash, so that no window holds a whole bucket; only a shard's last batch may be partly filled.
@@ -27,11 +27,12 @@ from .common import materialise, words_column
 N_BUCKETS = 16
 TOKEN_BUDGET = 16_384
 EXACT = 4096
+NEVER = np.int64(1 << 61)    # padding of what cannot be
 SHARD = 1 << 16
 
 
 def length_cell(n) -> F.Column:
-    """Histogram cell of a length: its own up to EXACT, above that its leading seven bits."""
+    """A rough histogram cell: a number's own up to EXACT, above that its leading seven bits."""
     step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)))) - 6, F.lit(0)))
     return F.when(n <= EXACT, n).otherwise((F.floor(n / step) * step).cast("long"))
 
@@ -43,29 +44,31 @@ def optimal_buckets(rows: np.ndarray, tokens: np.ndarray, largest: np.ndarray, n
     m = rows.size
     if not m:
         return []
-    r = np.concatenate(([0], np.cumsum(rows, dtype=np.float64)))
-    t = np.concatenate(([0], np.cumsum(tokens, dtype=np.float64)))
+    r = np.concatenate(([0], np.cumsum(rows, dtype=np.int64)))
+    t = np.concatenate(([0], np.cumsum(tokens, dtype=np.int64)))
 
     def cost(i, j):  # cells i..j-1 as one bucket
         return largest[j - 1] * (r[j] - r[i]) - (t[j] - t[i])
 
-    best = cost(np.zeros(m, np.int64), np.arange(1, m + 1))
-    best = np.concatenate(([0.0], best))
+    best = np.concatenate(([0], cost(np.zeros(m, np.int64), np.arange(1, m + 1))))
     cuts = [np.zeros(m + 1, np.int64)]
     totals = [best[m]]
     for _ in range(1, min(n_buckets, m)):
-        new, cut = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        stack = [(1, m, 0, m - 1)]
-        while stack:
-            lo, hi, first, last = stack.pop()
-            if lo > hi:
-                continue
+        new, cut = np.full(m + 1, NEVER), np.zeros(m + 1, np.int64)
+        lo, hi, first, last = (np.array([x]) for x in (1, m, 0, m - 1))
+        while lo.size:
             mid = (lo + hi) // 2
-            i = np.arange(first, min(last, mid - 1) + 1)
-            c = best[i] + cost(i, np.full(i.size, mid))
-            k = int(np.argmin(c))
-            new[mid], cut[mid] = c[k], i[k]
-            stack += [(lo, mid - 1, first, i[k]), (mid + 1, hi, i[k], last)]
+            sizes = np.minimum(last, mid - 1) - first + 1
+            starts = np.cumsum(sizes) - sizes
+            i = np.arange(sizes.sum()) + np.repeat(first - starts, sizes)
+            c = best[i] + cost(i, np.repeat(mid, sizes))
+            least = np.minimum.reduceat(c, starts)
+            ties = np.flatnonzero(c == np.repeat(least, sizes))
+            k = i[ties[np.searchsorted(ties, starts)]]
+            new[mid], cut[mid] = least, k
+            lo, hi, first, last = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (first, k), (k, last)))
+            some = lo <= hi
+            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
         best = new
         cuts.append(cut)
         totals.append(best[m])
@@ -76,13 +79,12 @@ def optimal_buckets(rows: np.ndarray, tokens: np.ndarray, largest: np.ndarray, n
     return ends[::-1]
 
 
-def length_histogram(sized: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, tokens, largest length) by cell, in order; a bounded number of cells."""
-    cells = (sized.groupBy(length_cell(F.col("n_tokens")).alias("cell"))
-             .agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("tokens"),
-                  F.max("n_tokens").alias("largest")).collect())
-    cells.sort(key=lambda c: c.cell)
-    return tuple(np.array([c[k] for c in cells], dtype=np.int64) for k in ("rows", "tokens", "largest"))
+def length_histogram(sized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, length) by length, in order; at most as many cells as the longest text has words."""
+    cells = sized.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("rows")).toArrow()
+    length, rows = (cells.column(c).to_numpy().astype(np.int64) for c in ("n_tokens", "rows"))
+    order = np.argsort(length)
+    return rows[order], length[order]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = N_BUCKETS,
@@ -91,8 +93,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buck
     (bucket, shard, batch), `slot` is the place in it."""
     sized = materialise(docs.select(F.col(id_col), F.xxhash64(id_col, text_col).alias("_llm_order"),
                                     F.size(words_column(F.col(text_col))).cast("long").alias("n_tokens")), "lengths")
-    rows, tokens, largest = length_histogram(sized)
-    ends = optimal_buckets(rows, tokens, largest, n_buckets)
+    rows, largest = length_histogram(sized)
+    ends = optimal_buckets(rows, rows * largest, largest, n_buckets)
     if not ends:
         return sized.select(id_col, "n_tokens", *[F.lit(0).cast(t).alias(c) for c, t in _PLACE]).limit(0)
     total = np.concatenate(([0], np.cumsum(rows)))
