@@ -5,6 +5,10 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as the next stage's `docs`; it sees exactly what its predecessor kept, and judges that alone. All stages
 but the last return the columns of `documents`, with `n_chars` following the text. The last returns one
 row per remaining document: its length, bucket and batch.
+
+Edge cases, in every stage: other columns of `docs` come back as they were, whatever their names; a null text
+counts as empty (the quality rules reject it); null ids and repeated rows are judged row by row, except that
+one row of each group stays in the SimHash stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,31 +20,46 @@ from marquee.llm import lines, packing, quality, simhash, substring
 from marquee.llm.common import materialise, table
 
 
-def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The columns of `documents`, the text replaced by the column `text`."""
-    changed = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return df.select(*[changed[c].alias(c) if c in changed else c for c in columns])
+KNOWN = ("doc_id", "text")  # the columns that the operators read
+
+
+def _hidden(docs: DataFrame) -> DataFrame:
+    """`docs` with the columns that an operator need not know under names that clash with none of its own."""
+    return docs.select([F.col(f"`{c}`").alias(c if c in KNOWN else f"_doc_{i}") for i, c in enumerate(docs.columns)])
+
+
+def _shown(df: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of `docs` by their own names; the text is the column `text`, and `n_chars` follows it."""
+    out = []
+    for i, c in enumerate(docs.columns):
+        if c == "text":
+            out.append(F.col(text).alias(c))
+        elif c == "n_chars" and text != "text":
+            out.append(F.length(text).cast("long").alias(c))
+        else:
+            out.append(F.col(c if c in KNOWN else f"_doc_{i}").alias(c))
+    return df.select(out)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that pass the quality rules (6)."""
-    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*docs.columns)
+    judged = quality.quality_rules(_hidden(docs), table(spark, sf_dir, "labels"))
+    return _shown(judged.where("kept"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop repeated lines everywhere but in the first document that holds them (9)."""
-    return _with_text(lines.dedup_lines(docs), docs.columns, "kept_text")
+    return _shown(lines.dedup_lines(_hidden(docs)), docs, "kept_text")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of SimHash near-duplicates (7)."""
-    return simhash.keep_first_of_group(docs)
+    return _shown(simhash.keep_first_of_group(_hidden(docs)), docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove passages that occur more than once (3)."""
-    return _with_text(substring.dedup_substrings(docs), docs.columns, "kept_text")
+    return _shown(substring.dedup_substrings(_hidden(docs)), docs, "kept_text")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
