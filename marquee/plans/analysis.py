@@ -106,11 +106,15 @@ def _slope_label(x, y) -> F.Column:
             .otherwise("Stable"))
 
 
-def _movie_credits(cat: Catalog, categories: tuple[str, ...], min_votes: int | None) -> DataFrame:
-    """person_id, title_id, start_year, primary_title, average_rating, num_votes of rated movies."""
+def _movie_credits(cat: Catalog, categories: tuple[str, ...], min_votes: int | None,
+                   persons: DataFrame | None = None) -> DataFrame:
+    """person_id, title_id, start_year, primary_title, average_rating, num_votes of rated movies; with `persons`
+    (a column person_id) of their credits only, which are chosen before the other joins."""
     m = titles_of_type(cat, "movie", F.col("id").alias("title_id"), "primary_title", "start_year")
     r = ratings_at_least(cat, min_votes).select("title_id", "average_rating", "num_votes")
     c = credits(cat, categories).select("title_id", "person_id", "category")
+    if persons is not None:
+        c = c.join(persons, "person_id", "left_semi")
     return join_chain(c, "title_id", [(m, "inner"), (r, "inner")], cat.heavy_titles, ["person_id"])
 
 
@@ -397,16 +401,18 @@ def _career_order():
 def career_trajectory(cat: Catalog, min_votes: int = 100, min_movies: int = 8, k: int = 10) -> DataFrame:
     """Running career statistics per director-movie, for the k best-rated director names.
 
-    Directors are chosen (and matched) by name, as in the source. The names are picked first from a
-    per-name aggregate (partial aggregation), so the career windows only run over their rows.
+    Directors are chosen (and matched) by name, as in the source. Ratings are summed per director first, so
+    names meet one row per director; the windows then read the credits of the chosen names' directors alone.
     """
-    base = _movie_credits(cat, ("director",), min_votes)
+    sums = _movie_credits(cat, ("director",), min_votes).groupBy("person_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(R()).alias("total"), F.count(R()).alias("rated"))
     people = cat.people.select(F.col("id").alias("person_id"), "name")
-    named = base.join(people, "person_id")
-    per_name = named.groupBy("name").agg(F.count(F.lit(1)).alias("n"), mean(R()).alias("m")).where(
+    per_name = sums.join(people, "person_id").groupBy("name").agg(
+        F.sum("n").alias("n"), F.try_divide(F.sum("total").cast("double"), F.sum("rated")).alias("m")).where(
         F.col("n") >= min_movies)
-    top_names = top_k(per_name, [F.col("m").desc_nulls_first(), F.col("name").asc()], k).select("name")
-    rows = named.join(F.broadcast(top_names), "name", "left_semi")
+    top_names = top_k_table(per_name, [F.col("m").desc_nulls_first(), F.col("name").asc()], k).select("name")
+    chosen = people.join(F.broadcast(top_names), "name", "left_semi")
+    rows = _movie_credits(cat, ("director",), min_votes, chosen).join(chosen, "person_id")
     # Running career statistics, kept parallel even for a director with a very long career.
     run = running_aggregates(rows, "person_id", _career_order(), {"r": R()})
     return run.select(

@@ -62,24 +62,30 @@ def movie_summary(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:
                       "average_rating", "num_votes", "directors", "writers", "genres")
 
 
-def _cast_list(cat: Catalog, title_type: str, categories, order, k: int, keys: DataFrame | None) -> DataFrame:
+def _acting_credits(cat: Catalog, title_type: str, categories, keys: DataFrame | None) -> DataFrame:
     titles = restrict(titles_of_type(cat, title_type, "id"), keys, "id")
     c = credits(cat, tuple(categories)).select("title_id", "person_id", "category", "characters")
-    c = c.join(titles, c["title_id"] == titles["id"], "left_semi").join(_people(cat), "person_id")
-    ranked = top_k_per_key(c, ["title_id"], order, k)
-    return ranked.select("title_id", "name", "characters", F.col("pos").cast("bigint").alias("pos"))
+    return c.join(titles, c["title_id"] == titles["id"], "left_semi")
 
 
 def movie_top_cast(cat: Catalog, keys: DataFrame | None = None, k: int = 5,
                    categories: tuple[str, ...] = ("actor",)) -> DataFrame:
-    """First k credits of the given categories per movie, by person id."""
-    return _cast_list(cat, "movie", categories, [F.col("person_id").asc(), F.col("category").asc()], k, keys)
+    """First k credits of the given categories per movie, by person id.
+
+    The order needs no name, so each movie is cut to k credits before people are joined. Every credit's person
+    must be in the catalogue (a foreign key of the source; the import and I10 see to it)."""
+    order = [F.col("person_id").asc(), F.col("category").asc()]
+    cut = top_k_per_key(_acting_credits(cat, "movie", categories, keys), ["title_id"], order, k)
+    return cut.join(_people(cat), "person_id").select("title_id", "name", "characters",
+                                                      F.col("pos").cast("bigint").alias("pos"))
 
 
 def series_top_cast(cat: Catalog, keys: DataFrame | None = None, k: int = 10) -> DataFrame:
     """First k actors/actresses per series, by name."""
-    return _cast_list(cat, "tvSeries", ACTING,
-                      [F.col("name").asc(), F.col("person_id").asc(), F.col("category").asc()], k, keys)
+    named = _acting_credits(cat, "tvSeries", ACTING, keys).join(_people(cat), "person_id")
+    order = [F.col("name").asc(), F.col("person_id").asc(), F.col("category").asc()]
+    return top_k_per_key(named, ["title_id"], order, k).select("title_id", "name", "characters",
+                                                               F.col("pos").cast("bigint").alias("pos"))
 
 
 def movie_details(cat: Catalog, keys: DataFrame | None = None) -> DataFrame:

@@ -82,6 +82,8 @@ JOBS: dict[str, tuple[Callable[..., DataFrame], dict]] = {
     "success_profile": (A.success_profile, {}),
     "series_longevity": (A.series_longevity, {"as_of_year": AS_OF_YEAR}),
     "long_running_series": (A.long_running_series, {"as_of_year": AS_OF_YEAR}),
+    "series_longevity_today": (A.series_longevity, {}),
+    "long_running_series_today": (A.long_running_series, {}),
     "career_trajectory": (A.career_trajectory, {}),
     "movies_since_last_hit": (A.movies_since_last_hit, {}),
     "genre_performance": (A.genre_performance, {}),
