@@ -9,8 +9,10 @@ a host needs `MIN_PAGES` different pages; with fewer, only the rules below apply
 
 Before that, elements that are never article text are cut off: scripts, styles, navigation, headers,
 footers, sidebars, forms, and elements whose class, id or role says notice, advert, comments and the like.
-If there is an `<article>` or `<main>`, the text is taken from the largest of them; otherwise from all of
-the body but blocks that are mostly links. Character references are decoded, white space inside a block
+The text is taken from every outermost `<article>`, or from the `<main>` around it (so that a heading or lead
+beside the article stays) but for its blocks outside the article that are mostly links; without articles from
+the largest `<main>`; otherwise from all of the body but blocks that are mostly links. Class and id names are
+judged whole: `has-sidebar`, `related-work` or `notice-period` are no noise. Character references are decoded, white space inside a block
 becomes one space, blocks are joined by one space in page order.
 
 Edge cases: a null or empty page has an empty text; markup that isn't closed or doesn't nest is read as
@@ -60,6 +62,10 @@ NOISE = set("nav navbar navigation menu breadcrumb breadcrumbs header masthead t
             "consent gdpr popup modal overlay newsletter subscribe subscription share sharing social related "
             "recommended comment comments reply replies disqus respond login signup widget pagination pager toolbar "
             "search skip byline".split())
+# Words that name the place or build of a block in class and id names (`site-footer`, `ad-slot`).
+PLACES = set("site page main global primary secondary top bottom left right inner outer list bar box block area item "
+             "items link links container wrapper wrap slot section panel inline unit content toggle button post posts "
+             "article articles stories js".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form",
          "menu", "menubar", "toolbar"}
 KEPT = {"html", "body", "main", "article"}
@@ -69,9 +75,20 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>"""
                    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""",
                        re.I)
+HEADING = re.compile("h[1-6]")
 END_OF = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW}
 
 
+def noisy_name(names: str) -> bool:
+    """Whether a class or id says that an element is no article text: noise words make up one of its names, alone
+    or with words of place (`cookie-banner`, `site-footer`; not `has-sidebar` or `notice-period`)."""
+    for name in names.split():
+        words = {w for w in re.split("[^a-z]+", name) if len(w) > 1}
+        if words & NOISE and words <= NOISE | PLACES:
+            return True
+    return False
+
+
 class Text:
     __slots__ = ("text", "hash")
     kids = ()
@@ -89,11 +106,10 @@ class Element:
         self.noise = tag in NEVER
         for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
             value, name = "".join(values).lower(), name.lower()
-            names = set(re.split("[^a-z]+", value))
             if name == "class":
-                self.label = tag + "." + ".".join(sorted(names - {""}))
+                self.label = tag + "." + ".".join(sorted(set(re.split("[^a-z]+", value)) - {""}))
             if tag not in KEPT and (name == "hidden" or name == "role" and value.strip() in ROLES
-                                    or name in ("class", "id") and names & NOISE):
+                                    or name in ("class", "id") and noisy_name(value)):
                 self.noise = True
 
 
@@ -189,22 +205,20 @@ class Forest:
         while stack:
             node, inside = stack.pop()
             order.append((node, inside))
-            inner = inside or node.tag == "article"
+            inner = inside or node.tag in ("article", "main")
             stack += [(k, inner) for k in node.kids if isinstance(k, Element)]
         holds = set()
         for node, _ in reversed(order):
             if node.tag in ("article", "main") and not node.noise or any(id(k) in holds for k in node.kids):
                 holds.add(id(node))
         for node, inside in reversed(order):
-            kids = []
+            inside, kids = inside or node.tag in ("article", "main"), []
             for k in node.kids:
                 if isinstance(k, Text):
                     if not k.text.isspace() and k.text:
                         kids.append(k)
-                elif k.tag == "header":  # of a page: noise; of an article: its headings are text
-                    kids += [h for h in k.kids if isinstance(h, Element) and re.fullmatch("h[1-6]", h.tag)
-                             and not h.noise] if inside or node.tag == "article" else \
-                            ([k] if id(k) in holds else [])
+                elif k.tag == "header" and id(k) not in holds:  # of a page: noise; of an article: its headings are text
+                    kids += headings(k) if inside else []
                 elif not k.noise or id(k) in holds:
                     kids.append(k)
             node.kids = kids
@@ -351,47 +365,69 @@ def text_nodes(root: Element) -> list[Text]:
     return out
 
 
-def region(root: Element) -> tuple[Element, bool]:
-    """The largest article or main element; the whole page (False) if there is none."""
-    best, size, stack = root, -1, [root]
+def headings(root: Element) -> list[Element]:
+    """The headings below an element, in page order, but those in noise."""
+    out, stack = [], [*reversed(root.kids)]
     while stack:
         node = stack.pop()
-        if node.tag == "article" or node.tag == "main" and not _inside(node, "article"):
-            length = sum(len(t.text) for t in text_nodes(node))
-            if length > size:
-                best, size = node, length
-        stack += [k for k in reversed(node.kids) if isinstance(k, Element)]
-    return best, size >= 0
+        if isinstance(node, Text) or node.noise:
+            continue
+        if HEADING.fullmatch(node.tag):
+            out.append(node)
+        else:
+            stack += reversed(node.kids)
+    return out
 
 
-def _inside(node: Element, tag: str) -> bool:
-    stack = list(node.kids)
+def region(root: Element) -> list[tuple[Element, bool]]:
+    """The parts of a page that hold its article, in page order, and whether all of a part is article: every
+    outermost article with text, or the main element around it (False); without articles the largest main; else
+    the whole page (False). What stands in noise (cards in a sidebar, comments) counts only if nothing else does,
+    and then the largest alone."""
+    articles, mains, stack = [], [], [(root, False, None)]
     while stack:
-        k = stack.pop()
-        if isinstance(k, Element):
-            if k.tag == tag and k.texts:
-                return True
-            stack += k.kids
-    return False
+        node, noise, main = stack.pop()
+        noise = noise or node.noise
+        if node.tag == "article" and node.texts:
+            articles.append((node, noise, main))
+            continue
+        if node.tag == "main":
+            main = main or node
+            mains.append((node, noise, main))
+        stack += [(k, noise, main) for k in reversed(node.kids) if isinstance(k, Element)]
+
+    def size(found) -> int:
+        return sum(len(t.text) for t in text_nodes(found[0]))
+
+    clean = [(main or node, main is None) for node, noise, main in articles if not noise]
+    if clean:
+        return [*{id(top): (top, whole) for top, whole in clean}.values()]
+    if articles:
+        return [(max(articles, key=size)[0], True)]
+    if mains:
+        return [(max([m for m in mains if not m[1]] or mains, key=size)[0], True)]
+    return [(root, False)]
 
 
 def blocks(root: Element, template: set[int]) -> list[str]:
-    """Text blocks of the page's main region without the text nodes whose id is in `template`."""
-    top, marked = region(root)
+    """Text blocks of the page's article parts without the text nodes whose id is in `template`. Outside of
+    articles, blocks that are mostly links go, and so does noise that was kept for an article in it."""
+    parts = region(root)
     out, pieces = [], []
     linked = whole = 0
 
     def flush() -> None:
         nonlocal linked, whole
         text = " ".join("".join(pieces).split())
-        if text and (marked or 2 * linked <= whole):
+        if text and 2 * linked <= whole:
             out.append(text)
         pieces.clear()
         linked = whole = 0
 
-    stack: list = [(top, False)]
+    stack: list = [(top, False, sure) for top, sure in reversed(parts)]
+    tops = {id(top) for top, _ in parts}
     while stack:
-        node, link = stack.pop()
+        node, link, sure = stack.pop()
         if node is None:
             flush()
         elif isinstance(node, Text):
@@ -399,12 +435,13 @@ def blocks(root: Element, template: set[int]) -> list[str]:
                 pieces.append(node.text)
                 size = len(node.text.strip())
                 whole += size
-                linked += size * link
-        else:
+                linked += size * (link and not sure)
+        elif id(node) in tops or not node.noise:
             if node.tag not in INLINE:
                 flush()
-                stack.append((None, False))
-            stack += [(k, link or node.tag == "a") for k in reversed(node.kids)]
+                stack.append((None, False, sure))
+            sure = sure or node.tag == "article"
+            stack += [(k, link or node.tag == "a", sure) for k in reversed(node.kids)]
     flush()
     return out
 

@@ -157,6 +157,31 @@ def test_main_text_of_a_page():
     assert wrapper.main_text("<article><p>a</b></i><p>b</div></article>") == "a b"
 
 
+def test_no_part_of_an_article_is_lost():
+    """Several article parts, text beside the article, and names that only contain a noise word."""
+    cases = {
+        "<main><h1>Head</h1><p class=lead>Lead</p><article><p>a</article><article><p>b</article></main>": "Head Lead a b",
+        "<article><p>a</article><p>between</p><article><p>b</article>": "a b",
+        "<article><div class='content has-sidebar'><p>a</div><section class=related-work><p>b</section>"
+        "<p class=notice-period>c</article>": "a b c",
+        "<article><header><div><h1>Head</h1><h2 class=comment-list>x</h2></div></header>a</article>": "Head a",
+        "<main><header><h1>Head</h1></header><ul><li><a href='/'>link</a></ul><article>a <a href='/'>b</a></article></main>":
+            "Head a b",
+    }
+    for page, text in cases.items():
+        assert wrapper.main_text(page) == text, page
+
+
+def test_articles_in_noise_are_no_article_parts():
+    for noise in ("<aside>{}</aside>", "<section id=comments>{}</section>", "<div class='sidebar left'>{}</div>",
+                  "<div class=related-articles>{}</div>", "<ul class='site-footer ad_slot'>{}</ul>"):
+        other = noise.format("<article><p>a longer text than that of the article</p></article>")
+        assert wrapper.main_text(f"<article><p>a</p></article>{other}") == "a", noise
+        assert wrapper.main_text(f"<main><article><p>a</p></article>{other}</main>") == "a", noise
+        assert wrapper.main_text(f"<article><p>a</p>{other}<p>b</p></article>") == "a b", noise
+        assert wrapper.main_text(other) == "a longer text than that of the article", noise
+
+
 def test_simple_tree_matching_finds_the_constant_nodes():
     page = "<body><div><p>{}</p><p>{}</p><p>Please subscribe</p></div><p>Imprint</p></body>"
     reader = wrapper.Reader()
