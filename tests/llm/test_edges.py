@@ -167,7 +167,7 @@ def test_digests_are_what_the_contract_says(spark):
     assert spark.range(1).select(F.sha2(F.lit("é"), 256).alias("h")).first().h == hashlib.sha256("é".encode()).hexdigest()
 
 
-def test_brown_classes_words_beyond_the_local_table(spark):
+def test_brown_classes_words_beyond_the_local_table(spark, monkeypatch):
     half = 66_000  # words of one text each, more than the table of frequent words holds; a few are frequent
     rows = [(i, " ".join(f"the n{k:06d} runs . we v{k:06d} it . the n{k % 20}x runs . we v{k % 20}x it ."
                          for k in range(i * 100, i * 100 + 100))) for i in range(half // 100)]
@@ -180,6 +180,12 @@ def test_brown_classes_words_beyond_the_local_table(spark):
     assert not of["n"] & of["v"] and len(of["n"]) == len(of["v"]) == 1
     got = brown.score(frame, model, lexicon).collect()
     assert all(r.n_known == r.n_tokens and math.isfinite(r.score) for r in got)
+    # The number of blocks changes nothing.
+    monkeypatch.setattr(brown, "NEAR_TOKENS", 1 << 16)
+    monkeypatch.setattr(brown, "FAR_TOKENS", 100)
+    again, words = brown.fit(frame)
+    assert (again.transition == model.transition).all() and (again.classes == model.classes).all()
+    assert words.exceptAll(lexicon).isEmpty() and words.count() == lexicon.count()
 
 
 def test_long_pages_have_a_reference_too(spark):
