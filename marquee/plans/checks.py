@@ -92,7 +92,8 @@ def _dangling(tables: dict[str, DataFrame], targets: dict[str, DataFrame], befor
         if before is not None:
             open_ = reduce(Column.__or__, [(F.col("table") == t) & (F.col("rule") == rule) for t, _, rule, _ in here])
             rows = rows.unionByName(before.where(open_))
-        combined = rows.groupBy("table", "rule", "ref").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
+        # the id first: rows are sorted by it for the smallest key, and the names are the same in most rows
+        combined = rows.groupBy("ref", "table", "rule").agg(F.min("key").alias("key"), F.sum("n").alias("n"))
         target = targets[ref].select(F.col(here[0][3]).cast("string").alias("ref"))
         parts.append(combined.join(target, "ref", "left_anti").select("table", "rule", "ref", "key", "n"))
     return reduce(DataFrame.unionByName, parts)
