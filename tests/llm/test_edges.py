@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +199,41 @@ def test_long_pages_have_a_reference_too(spark):
     assert len(rows[0][2]) > wrapper.MAX_REFERENCE
     got = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
     assert got == {i: words(i) for i in range(10, 18)}
+
+
+def test_brown_scores_of_rare_words_are_summed_without_row_functions(spark, capsys):
+    """Words of a hand-made model and of its lexicon, alone and in runs, against the formula."""
+    n_classes = brown.CLASSES
+    known = {"a": (9, 1), "b": (5, 2)}  # n, class; the others lie in the lexicon
+    rare = {f"r{i}": (1 + i % 3, 3 + i % 4) for i in range(40)}
+    classes = np.zeros(brown.LOCAL + 1, np.int64)
+    classes[:2] = [1, 2]
+    transitions = np.arange(n_classes * n_classes).reshape(n_classes, n_classes) % 7
+    totals, types, of_bucket = np.arange(n_classes) + 90, np.arange(n_classes) + 3, np.arange(brown.BUCKETS) % 40 + 1
+    m = brown.Model(pa.array(list(known)), np.array([9, 5]), classes, of_bucket, transitions, totals, types, 200, 50, 4, 0.5)
+    texts = [None, "a b a", "r1 r2 r3 a r4", "a r5 r6 b b r5 r6 r7", "x1 r8 x2 y", " ".join(f"r{i % 40} a r{i % 7}" for i in range(900))]
+    rows = [(i % 5 or None, t, i % 2 == 0) for i, t in enumerate(texts)]  # ids are null or repeat
+    frame = spark.createDataFrame(rows, "id long, body string, held_out boolean").repartition(2)
+    lexicon = spark.createDataFrame([(w, *v) for w, v in rare.items()], "word string, n long, c int")
+    result = brown.score(frame, m, lexicon)
+    result.explain()
+    plan = capsys.readouterr().out
+    assert "ObjectHashAggregate" not in plan and "ArrowEvalPython" not in plan
+
+    def wanted(text):
+        last, known_, base, logs = 0, 0, 0.0, 0.0
+        for w in [*(text or "").split(), None]:
+            n, c = (4, 0) if w is None else {**known, **rare}.get(w) or (0, int(of_bucket[zlib.crc32(w[-4:].encode()) % brown.BUCKETS]))
+            known_ += n > 0
+            base += math.log10(n + 1) - m.base_total
+            logs += m.transition[last, c]
+            if w is not None:
+                logs += (math.log10(n - 0.5) if n else m.unknown[c]) - m.class_total[c]
+            last = c
+        return known_, base, logs
+
+    got = sorted(((r.n_tokens, r.id, r.held_out, r.n_known, r.base_score, r.score) for r in result.collect()), key=str)
+    plain = sorted(((len((t or "").split()) + 1, i, h, *wanted(t)) for i, t, h in rows), key=str)
+    assert [g[:4] for g in got] == [w[:4] for w in plain]
+    for g, w in zip(got, plain):
+        assert math.isclose(g[4], w[4]) and math.isclose(g[5], w[5])

@@ -211,3 +211,32 @@ def test_long_child_lists_are_matched_for_the_greatest_total(monkeypatch):
     for cells in (8, 100):
         monkeypatch.setattr(wrapper, "MAX_CELLS", cells)
         assert [total(a, b) for a, b in cases] == wanted
+
+
+def test_words_sums_and_packed_columns_equal_the_plain_versions():
+    texts = ["A b\tB\x0bc\r\n", None, "", " \x1f\xa0x  É\x00 ", "a", "\n", "ß b\x0c"]
+    for part in (pa.array(texts), pa.array(["zz y", *texts, "q"]).slice(1, len(texts))):
+        words, sizes = brown._words(pa.RecordBatch.from_arrays([part], ["body"]))
+        plain = [(t or "").encode().lower().split() for t in texts]
+        assert words.cast(pa.binary()).to_pylist() == [w for each in plain for w in each]
+        assert sizes.tolist() == [len(each) for each in plain]
+    for top in (3, 1 << 20, 1 << 62):  # few cells, pairs that fit one number, pairs that don't
+        a, b, k = rng.integers(0, top, 500), rng.integers(0, top, 500), rng.integers(1, 9, 500)
+        a[250:], b[250:] = a[:250], b[:250]
+        wanted = {}
+        for x, y, n in zip(a.tolist(), b.tolist(), k.tolist()):
+            wanted[x, y] = wanted.get((x, y), 0) + n
+        got = brown.sum_up(a, b, k)
+        assert list(zip(*(c.tolist() for c in got))) == [(*at, wanted[at]) for at in sorted(wanted)]
+        assert (brown.unpack([brown.pack(a, b, k), brown.pack(*(c[:0] for c in (a, b, k)))], 3) == [a, b, k]).all()
+
+
+def test_the_last_round_counts_no_cells_and_sorted_columns_are_stored_narrow():
+    classes, pair, of_bucket = np.ones(brown.LOCAL + 1, np.int64), np.ones((48, 48)), np.ones(256, np.int64)
+    near, far = np.array([[0, 1], [1, 2], [5, 6]]), np.array([[brown.FAR | 256], [2 << 1], [3]])
+    for last in (False, True):
+        rows = [*brown.near_step(near, classes, last),
+                *brown.far_step(0, far, brown.unpack([], 3), classes, pair, of_bucket, last, 1)]
+        assert (brown.CELLS in {k for r in rows for k in r.column("kind").to_pylist()}) == (not last)
+    noise = rng.integers(0, 256, 10_000)
+    assert len(brown.pack(noise)) < 10_100
